@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .quality_rules import rules
+from .simhash import near_duplicates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +16,9 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules}
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_simhash": op5_simhash}
 ORACLES: dict[str, str] = {}
