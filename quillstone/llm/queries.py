@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .quality_rules import rules
 from .simhash import near_duplicates
+from .language_model import interpolated_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,5 +21,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_simhash": op5_simhash}
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_scores(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_simhash": op5_simhash, "op8_language_model": op8_language_model}
 ORACLES: dict[str, str] = {}
