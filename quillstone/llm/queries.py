@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language_model import interpolated_scores
+from .line_crf import classify
 from .packing import pack
 from .quality_rules import rules
 from .simhash import near_duplicates
@@ -39,5 +40,9 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_simhash": op5_simhash, "op8_language_model": op8_language_model, "op4_packing": op4_packing, "op7_suffix_dedup": op7_suffix_dedup}
+def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_simhash": op5_simhash, "op8_language_model": op8_language_model, "op4_packing": op4_packing, "op7_suffix_dedup": op7_suffix_dedup, "op6_line_crf": op6_line_crf}
 ORACLES: dict[str, str] = {}
