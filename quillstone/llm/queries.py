@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from .language_model import interpolated_scores
 from .line_crf import classify
+from . import mixing
 from .packing import pack
 from .quality_rules import rules
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
+from .warc import read_records, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,5 +46,23 @@ def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_simhash": op5_simhash, "op8_language_model": op8_language_model, "op4_packing": op4_packing, "op7_suffix_dedup": op7_suffix_dedup, "op6_line_crf": op6_line_crf}
-ORACLES: dict[str, str] = {}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_records(write_archives(_table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_simhash": op5_simhash, "op8_language_model": op8_language_model, "op4_packing": op4_packing, "op7_suffix_dedup": op7_suffix_dedup, "op6_line_crf": op6_line_crf, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
+ORACLES: dict[str, str] = {
+    "op9_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS m FROM p WHERE n >= 100 GROUP BY d HAVING count(*) > 1)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+    CASE WHEN m IS NOT NULL AND page_id IS DISTINCT FROM m THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM m THEN m END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d
+""",
+    "op10_mixing": mixing.SQL,
+}
