@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing
 from .language_model import interpolated_scores
 from .line_crf import classify
-from . import mixing
+from .nearest import nearest
 from .packing import pack
 from .quality_rules import rules
 from .simhash import near_duplicates
@@ -54,7 +55,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_simhash": op5_simhash, "op8_language_model": op8_language_model, "op4_packing": op4_packing, "op7_suffix_dedup": op7_suffix_dedup, "op6_line_crf": op6_line_crf, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_simhash": op5_simhash, "op8_language_model": op8_language_model, "op4_packing": op4_packing, "op7_suffix_dedup": op7_suffix_dedup, "op6_line_crf": op6_line_crf, "op9_warc": op9_warc, "op10_mixing": op10_mixing, "op2_nearest": op2_nearest}
 ORACLES: dict[str, str] = {
     "op9_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
