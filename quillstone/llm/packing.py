@@ -61,7 +61,7 @@ class WordTokenizer:
                 split[word] = self.pieces.findall(text.lower())
             else:
                 self.by_word[word] = np.array(self.full.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        fresh = list({p for ps in split.values() for p in ps} - self.by_piece.keys())
+        fresh = [p for p in {p for ps in split.values() for p in ps} if p not in self.by_piece]
         for i in range(0, len(fresh), 500):
             some = fresh[i : i + 500]
             ids = np.array(self.inner.encode(" ".join(some), add_special_tokens=False).ids, "<u2")
