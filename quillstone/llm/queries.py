@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import line_dedup, mixing
 from .language_model import interpolated_scores
 from .line_crf import classify
 from .nearest import nearest
@@ -59,8 +59,13 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_simhash": op5_simhash, "op8_language_model": op8_language_model, "op4_packing": op4_packing, "op7_suffix_dedup": op7_suffix_dedup, "op6_line_crf": op6_line_crf, "op9_warc": op9_warc, "op10_mixing": op10_mixing, "op2_nearest": op2_nearest}
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_simhash": op5_simhash, "op8_language_model": op8_language_model, "op4_packing": op4_packing, "op7_suffix_dedup": op7_suffix_dedup, "op6_line_crf": op6_line_crf, "op9_warc": op9_warc, "op10_mixing": op10_mixing, "op2_nearest": op2_nearest, "op1_line_dedup": op1_line_dedup}
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": line_dedup.SQL,
     "op9_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
 f AS (SELECT d, min(page_id) AS m FROM p WHERE n >= 100 GROUP BY d HAVING count(*) > 1)
