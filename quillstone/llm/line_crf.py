@@ -139,17 +139,18 @@ def score_texts(buf: np.ndarray, off: np.ndarray, w: np.ndarray, trans: np.ndarr
     return np.clip(np.round(np.bincount(doc, p * weight) / np.bincount(doc, weight), 12), 0, 1), p, doc
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, folds: int = 3, max_train: int = 4000) -> DataFrame:
-    """doc_id, held_out, score, predicted and line_scores (P(good) per line) of every row.
+def _held_out(folds: int) -> F.Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % folds == 1
+
 
-    labels: doc_id and quality (0 or 1). Documents whose crc32(doc_id as text) leaves remainder 1
-    are held out from fitting.
+def fit_documents(docs: DataFrame, labels: DataFrame, *, folds: int = 3, max_train: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+    """The field's weights and transitions; labels: doc_id and quality (0 or 1).
+
+    Documents whose crc32(doc_id as text) leaves remainder 1 are held out.
     """
     c = F.col
     bounded_batches(docs.sparkSession)
-    rest = F.coalesce(F.crc32(c("doc_id").cast("string")), F.lit(0)) % folds
-    slim = docs.select(c("doc_id").cast("long"), c("text").cast("string"))
-    known = labels.where(c("quality").isNotNull() & c("doc_id").isNotNull() & (rest != 1)).groupBy(c("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("long").alias("good"))
+    known = labels.where(c("quality").isNotNull() & c("doc_id").isNotNull() & ~_held_out(folds)).groupBy(c("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("long").alias("good"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,14 +160,19 @@ def classify(docs: DataFrame, labels: DataFrame, *, folds: int = 3, max_train: i
                 rows = np.split(x.astype(np.float32), np.flatnonzero(np.diff(doc)) + 1)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("good"), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "good", "x"])
 
+    slim = docs.select(c("doc_id").cast("long"), c("text").cast("string"))
     # at most max_train rows on the joined side
     train = slim.join(F.broadcast(chosen), "doc_id").mapInArrow(described, "doc_id long, good long, x binary").toPandas().sort_values(["doc_id", "x"])
-    if train["good"].nunique() == 2:
-        parts = [np.frombuffer(b, np.float32).reshape(-1, FEATURES).astype(np.float64) for b in train["x"]]
-        size = np.array([len(p) for p in parts])
-        w, trans = fit(np.vstack(parts), np.repeat(np.arange(len(parts)), size), np.repeat(train["good"].to_numpy(np.int64), size))
-    else:
-        w, trans = np.zeros(FEATURES), np.zeros((2, 2))
+    if train["good"].nunique() < 2:
+        return np.zeros(FEATURES), np.zeros((2, 2))
+    parts = [np.frombuffer(b, np.float32).reshape(-1, FEATURES).astype(np.float64) for b in train["x"]]
+    size = np.array([len(p) for p in parts])
+    return fit(np.vstack(parts), np.repeat(np.arange(len(parts)), size), np.repeat(train["good"].to_numpy(np.int64), size))
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, folds: int = 3, max_train: int = 4000) -> DataFrame:
+    """doc_id, held_out, score, predicted and line_scores (P(good) per line) of every row."""
+    w, trans = fit_documents(docs, labels, folds=folds, max_train=max_train)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -175,5 +181,18 @@ def classify(docs: DataFrame, labels: DataFrame, *, folds: int = 3, max_train: i
                 size = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(score)))])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(p))], names=["doc_id", "score", "line_scores"])
 
-    scored = slim.mapInArrow(run, "doc_id long, score double, line_scores array<double>")
-    return scored.select("doc_id", (rest == 1).alias("held_out"), "score", (c("score") >= 0.5).cast("int").alias("predicted"), "line_scores")
+    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, line_scores array<double>")
+    return scored.select("doc_id", _held_out(folds).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "line_scores")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, folds: int = 3, max_train: int = 4000) -> DataFrame:
+    """The rows of docs, all columns, that score at least 0.5."""
+    w, trans = fit_documents(docs, labels, folds=folds, max_train=max_train)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                score, _, _ = score_texts(*text_bytes(batch.column("text")), w, trans)
+                yield batch.filter(pa.array(score >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -65,16 +65,17 @@ def fingerprint_batch(batch: pa.RecordBatch, width: int, seed: int) -> np.ndarra
 
 
 def fingerprints(docs: DataFrame, *, width: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, text_hash and fp (the fingerprint as a signed long) of every row."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
                 fp = fingerprint_batch(batch, width, seed).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fp)], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def trie_links(a: np.ndarray, b: np.ndarray, nodes: np.ndarray, depth: int, budget: int, itself: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -209,12 +210,26 @@ def _by_node(v: np.ndarray, order: np.ndarray, lo: np.ndarray, hi: np.ndarray, s
     return order[picked[i]], order[picked[j]]
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 3, bits: int = 2, seed: int = 42, max_node: int = 200_000) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every row."""
-    c = F.col
+def grouped(docs: DataFrame, *, width: int = 3, bits: int = 2, seed: int = 42, max_node: int = 200_000) -> DataFrame:
+    """doc_id, text_hash, fp, root (the component's smallest fingerprint) and component_id of every row."""
     prints = saved(fingerprints(docs, width=width, seed=seed), "simhash")
     classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     parts = components(links(classes.select("fp"), bits=bits, max_node=max_node), "simhash-links")
     rooted = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = saved(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"), "simhash-components")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = saved(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id"), "simhash-components")
+    return prints.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every row."""
+    return grouped(docs, **options).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, one of each component: the smallest doc_id (null last), then the smallest hash of the text."""
+    c = F.col
+    order = lambda text_hash: F.struct(F.coalesce(c("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), text_hash.alias("x"))
+    first = grouped(docs, **options).groupBy("root").agg(F.min(order(c("text_hash"))).alias("_first")).select("_first.d", "_first.x")
+    keyed = docs.withColumn("_order", order(F.xxhash64(c("text").cast("string"))))
+    kept = keyed.withColumns({"_simhash_d": c("_order.d"), "_simhash_x": c("_order.x")}).join(first.select(c("d").alias("_simhash_d"), c("x").alias("_simhash_x")), ["_simhash_d", "_simhash_x"], "left_semi")
+    return kept.dropDuplicates(["_simhash_d", "_simhash_x"]).select(*docs.columns)
