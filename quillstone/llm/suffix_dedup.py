@@ -254,27 +254,18 @@ def _match(batches: Iterator[pa.RecordBatch], length: int, k: int, batch_size: i
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Every full window around the anchors of crowded keys, as two hashes."""
+    """Every full window around an anchor, by its split (bytes left of the anchor) and a hash."""
     import xxhash
 
     for batch in batches:
-        out: list[tuple] = []
-        for d, x, pos, key, left, right in zip(*(batch.column(c).to_pylist() for c in ("d", "x", "pos", "key", "left", "right")), strict=True):
+        for key, h1, h2, left, right, n in zip(*(batch.column(c).to_pylist() for c in ("key", "h1", "h2", "left", "right", "n")), strict=True):
             data = left + right
-            for s in range(len(data) - length + 1):
-                if s <= len(left):
-                    h = xxhash.xxh3_128_digest(data[s : s + length])
-                    out.append((d, x, pos - len(left) + s, key, len(left) - s, h))
-            if len(out) > 50_000:
-                yield _window_batch(out)
-                out = []
-        if out:
-            yield _window_batch(out)
-
-
-def _window_batch(out: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["d", "x", "begin", "key", "split", "hash"])
+            starts = range(min(len(data) - length, len(left)) + 1)
+            hashes = [xxhash.xxh3_128_digest(data[s : s + length]) for s in starts]
+            m = len(hashes)
+            if m:
+                cols = [pa.array(np.full(m, v, np.int64)) for v in (key, h1, h2, n)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(len(left) - np.arange(m)), pa.array(hashes, pa.binary())], names=["key", "h1", "h2", "n", "split", "hash"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +289,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("until", pa.int64())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 400, k: int = 64, max_run: int = 20_000, batch_size: int = 32768, task_bytes: int = 96 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 400, k: int = 64, max_run: int = 100_000, batch_size: int = 32768, task_bytes: int = 96 << 20) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges, maximal) and kept (the remaining bytes) of every row."""
     c = F.col
     bounded_batches(docs.sparkSession)
@@ -313,10 +304,14 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, k: int = 64, max_run:
     tasks = max(1, -(-total * 2 * length // task_bytes))
     spans = around.where(~c("hot")).select("d", "x", "pos", "key", "left", "right").repartition(tasks, "key").mapInArrow(partial(_match, length=length, k=k, batch_size=batch_size), f"{_ID}, begin long, until long")
     if crowd.where("hot").limit(1).count():
-        hot = saved(around.where("hot"), "repeats-crowded")
-        windows = hot.mapInArrow(partial(_windows, length=length), f"{_ID}, begin long, key long, split long, hash binary")
-        twice = windows.groupBy("key", "split", "hash").agg(F.count("*").alias("n")).where(c("n") > 1).select("key", "split", "hash")
-        spans = spans.unionByName(windows.join(twice, ["key", "split", "hash"]).select("d", "x", "begin", (c("begin") + length).alias("until")))
+        # equal surroundings share their windows: one of each is cut up, counted as often as it occurs
+        same = ["key", "h1", "h2"]
+        hot = saved(around.where("hot").withColumns({"h1": F.xxhash64("left", F.lit(0), "right"), "h2": F.xxhash64("right", F.lit(1), "left")}), "repeats-crowded")
+        once = hot.groupBy(*same).agg(F.count("*").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
+        windows = saved(once.mapInArrow(partial(_windows, length=length), "key long, h1 long, h2 long, n long, split long, hash binary"), "repeats-windows")
+        twice = windows.groupBy("key", "split", "hash").agg(F.sum("n").alias("k")).where(c("k") > 1).select("key", "split", "hash")
+        reach = windows.join(twice, ["key", "split", "hash"]).groupBy(*same).agg(F.max("split").alias("most"), F.min("split").alias("least"))
+        spans = spans.unionByName(hot.join(reach, same).select("d", "x", (c("pos") - c("most")).alias("begin"), (c("pos") - c("least") + length).alias("until")))
     listed_spans = spans.groupBy("d", "x").agg(F.collect_set(F.struct("begin", "until")).alias("spans"))
     joined = whole.join(listed_spans, ["d", "x"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<begin:long,until:long>>, kept binary")
