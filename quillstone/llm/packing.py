@@ -39,7 +39,7 @@ class WordTokenizer:
     Words seen before come from two tables of bounded size; new ones are encoded many at a time.
     """
 
-    def __init__(self, path: str, words: int = 500_000):
+    def __init__(self, path: str, words: int = 1_000_000):
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -65,25 +65,27 @@ class WordTokenizer:
         for i in range(0, len(fresh), 500):
             some = fresh[i : i + 500]
             ids = np.array(self.inner.encode(" ".join(some), add_special_tokens=False).ids, "<u2")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            cuts = (2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) == len(some):
-                self.by_piece |= {p: x.tobytes() for p, x in zip(some, np.split(ids, cuts[:-1]), strict=True)}
+                data = ids.tobytes()
+                self.by_piece |= {p: data[a:b] for p, a, b in zip(some, [0, *cuts], cuts, strict=False)}
             else:
                 self.by_piece |= {p: np.array(self.full.encode(p, add_special_tokens=False).ids, "<u2").tobytes() for p in some}
         self.by_word |= {w: b"".join([self.by_piece[p] for p in ps]) for w, ps in split.items()}
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian 16-bit numbers."""
-        words = text.encode().split()
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 16-bit numbers."""
         known = self.by_word
-        if new := set(words).difference(known):
+        split = [t.encode().split() for t in texts]
+        new = set().union(*split).difference(known) if split else set()
+        if new:
             if len(known) + len(new) > self.limit:
                 known.clear()
-                new = set(words)
-            if len(self.by_piece) > 2 * self.limit:
+                new = set().union(*split)
+            if len(self.by_piece) > self.limit:
                 self.by_piece.clear()
             self._learn(new)
-        return b"".join([known[w] for w in words])
+        return [b"".join([known[w] for w in words]) for words in split]
 
 
 @lru_cache(2)
@@ -139,7 +141,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, length: int = 4096, end_id: in
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, end = tokenizer(tokenizer_path), np.array([end_id], "<u2").tobytes()
         for batch in batches:
-            data = [tok.encode(t or "") + end for t in batch.column("text").to_pylist()]
+            data = [x + end for x in tok.encode([t or "" for t in batch.column("text").to_pylist()])]
             ids = [np.frombuffer(x, "<u2") for x in data]
             key = np.concatenate([curve_keys(ids[i : i + 100]) for i in range(0, len(ids), 100)]) if ids else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(key, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "key", "doc_tokens", "ids"])
@@ -180,4 +182,4 @@ def pack(docs: DataFrame, tokenizer_path: str, *, length: int = 4096, end_id: in
     if parts <= 100_000:  # a row per range partition: two megabytes at most
         bases = F.broadcast(bases)
     places = placed.join(bases, "part").select("row", (c("base") + c("inside")).alias("at"))
-    return coded.select("row", "doc_id", "ids").join(places, "row").mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return coded.select("row", "doc_id", "ids").join(places.hint("merge"), "row").mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -21,7 +21,7 @@ def test_hilbert_key_is_a_curve():
 def test_word_ids_are_the_tokenizers():
     full, own = Tokenizer.from_file(PATH), packing.WordTokenizer(PATH, words=5)
     texts = ["", "Hello, WORLD's  don't\tit'll 12,345.6%", "a b c ß Ñandú É é İstanbul ΣΑΣ", "<|endoftext|>x <|startoftext|> <b>", "日本語 🙂🙂 x\x1cy \x85 z", "ª¼²× ÷", "I'VE 've'll'"]
-    assert [np.frombuffer(own.encode(t), "<u2").tolist() for t in texts] == [full.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(own.encode([t])[0], "<u2").tolist() for t in texts] == [np.frombuffer(x, "<u2").tolist() for x in own.encode(texts)] == [full.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_round_trip(spark, odd_docs):
