@@ -11,8 +11,9 @@ A task keeps a logarithmic index family: arriving records form batches; a batch
 levels of equal size merge. A scan looks at runs with k equal bytes and finds for each record how
 far left and right of its anchor it lies in matches of the full length. Runs of few records compare
 pairs; others intersect classes of equal left and right parts, level by level of the common-prefix
-arrays, in linear space. Keys with over ``max_run`` records are not gathered at all: their windows
-are hashed and counted, which is exact up to 128-bit hashes and splits over tasks.
+arrays, in linear space. Keys with over ``max_run`` records are not gathered in one task: their
+records are regrouped by the longer cores that windows with similar splits share, halving the
+interval of splits as long as a group is crowded; cores are compared by 128-bit hashes.
 
 Cases: null text is empty; texts under ``length`` bytes keep everything; matches never cross texts;
 repeated rows are separate texts, so they cover each other; null and repeated doc_ids are fine.
@@ -241,31 +242,55 @@ class Family:
 
 
 def _match(batches: Iterator[pa.RecordBatch], length: int, k: int, batch_size: int) -> Iterator[pa.RecordBatch]:
-    family, held = Family(length, k), []
+    """lo: records of crowded keys come once per interval of splits; each interval has its own family."""
+    families: dict[int, Family] = {}
+    held: dict[int, list] = {}
     for batch in batches:
-        held += zip(*(batch.column(c).to_pylist() for c in ("d", "x", "pos", "left", "right")), strict=True)
-        while len(held) >= batch_size:
-            family.add(held[:batch_size])
-            held = held[batch_size:]
-    if held:
-        family.add(held)
-    if (out := family.spans()) is not None:
-        yield out
-
-
-def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Every full window around an anchor, by its split (bytes left of the anchor) and a hash."""
-    import xxhash
-
-    for batch in batches:
-        for key, h1, h2, left, right, n in zip(*(batch.column(c).to_pylist() for c in ("key", "h1", "h2", "left", "right", "n")), strict=True):
-            data = left + right
-            starts = range(min(len(data) - length, len(left)) + 1)
-            hashes = [xxhash.xxh3_128_digest(data[s : s + length]) for s in starts]
-            m = len(hashes)
-            if m:
-                cols = [pa.array(np.full(m, v, np.int64)) for v in (key, h1, h2, n)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(len(left) - np.arange(m)), pa.array(hashes, pa.binary())], names=["key", "h1", "h2", "n", "split", "hash"])
+        for lo, *record in zip(*(batch.column(c).to_pylist() for c in ("lo", "d", "x", "pos", "left", "right")), strict=True):
+            held.setdefault(lo, []).append(record)
+        for lo, records in held.items():
+            family = families.setdefault(lo, Family(length, k))
+            while len(records) >= batch_size:
+                family.add(records[:batch_size])
+                del records[:batch_size]
+    for lo, family in families.items():
+        if held[lo]:
+            family.add(held[lo])
+        if (out := family.spans()) is not None:
+            yield out
+
+
+def refined(hot: DataFrame, length: int, k: int, max_run: int) -> tuple[DataFrame, DataFrame]:
+    """Crowded records by what all windows of an interval of splits share: (d, x, pos, lo, g1, g2) groups, and covered spans.
+
+    A window with l bytes left of the anchor, lo <= l <= hi, holds lo bytes to the left and
+    length - hi from the anchor on. Records are grouped by that core; single ones are dropped,
+    groups still crowded have their interval halved, down to one split, where the core is the window.
+    """
+    c = F.col
+    where = ["lo", "hi", "g1", "g2"]
+
+    def cores(rows: DataFrame) -> DataFrame:
+        core = F.concat(F.substring("left", F.octet_length("left") - c("lo") + 1, c("lo")), F.substring("right", F.lit(1), length - c("hi")))
+        fits = (F.octet_length("left") >= c("lo")) & (F.octet_length("right") >= length - c("hi"))
+        return rows.where(fits).select("d", "x", "pos", "lo", "hi", F.xxhash64(core).alias("g1"), F.xxhash64(core, F.lit(1)).alias("g2"))
+
+    mid = F.floor((c("lo") + c("hi")) / 2).cast("int")
+    halves = F.explode(F.array(F.struct(c("lo").alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), c("hi").alias("b")))).alias("i")
+    split = lambda rows: rows.select("*", halves).drop("lo", "hi").select("*", c("i.a").alias("lo"), c("i.b").alias("hi")).drop("i")
+    now = split(hot.withColumns({"lo": F.lit(0), "hi": F.lit(length - k)}))
+    groups, spans = None, None
+    while True:
+        held = saved(cores(now), "repeats-cores")
+        sizes = held.groupBy(*where).agg(F.count("*").alias("n")).where(c("n") > 1)
+        live = saved(held.join(sizes, where), "repeats-groups")
+        few = live.where(c("n") <= max_run).select("d", "x", "pos", "lo", "g1", "g2")
+        whole = live.where((c("n") > max_run) & (c("lo") == c("hi"))).select("d", "x", (c("pos") - c("lo")).alias("begin"), (c("pos") - c("lo") + length).alias("until"))
+        groups, spans = (few, whole) if groups is None else (groups.unionByName(few), spans.unionByName(whole))
+        crowded = live.where((c("n") > max_run) & (c("lo") < c("hi"))).select("d", "x", "pos", "lo", "hi")
+        if not crowded.limit(1).count():
+            return groups, spans
+        now = split(crowded.distinct().join(hot, ["d", "x", "pos"]))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,16 +327,13 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, k: int = 64, max_run:
     listed = found.join(crowd, "key").groupBy("d", "x").agg(F.collect_set(F.struct("pos", "key", "hot")).alias("found"))
     around = whole.join(listed, ["d", "x"]).select("d", "x", "doc_id", "text", "found").mapInArrow(partial(_surround, length=length, k=k), f"{_ID}, pos long, key long, hot boolean, left binary, right binary")
     tasks = max(1, -(-total * 2 * length // task_bytes))
-    spans = around.where(~c("hot")).select("d", "x", "pos", "key", "left", "right").repartition(tasks, "key").mapInArrow(partial(_match, length=length, k=k, batch_size=batch_size), f"{_ID}, begin long, until long")
+    match = partial(_match, length=length, k=k, batch_size=batch_size)
+    spans = around.where(~c("hot")).select(F.lit(0).alias("lo"), "d", "x", "pos", "key", "left", "right").repartition(tasks, "key").mapInArrow(match, f"{_ID}, begin long, until long")
     if crowd.where("hot").limit(1).count():
-        # equal surroundings share their windows: one of each is cut up, counted as often as it occurs
-        same = ["key", "h1", "h2"]
-        hot = saved(around.where("hot").withColumns({"h1": F.xxhash64("left", F.lit(0), "right"), "h2": F.xxhash64("right", F.lit(1), "left")}), "repeats-crowded")
-        once = hot.groupBy(*same).agg(F.count("*").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
-        windows = saved(once.mapInArrow(partial(_windows, length=length), "key long, h1 long, h2 long, n long, split long, hash binary"), "repeats-windows")
-        twice = windows.groupBy("key", "split", "hash").agg(F.sum("n").alias("k")).where(c("k") > 1).select("key", "split", "hash")
-        reach = windows.join(twice, ["key", "split", "hash"]).groupBy(*same).agg(F.max("split").alias("most"), F.min("split").alias("least"))
-        spans = spans.unionByName(hot.join(reach, same).select("d", "x", (c("pos") - c("most")).alias("begin"), (c("pos") - c("least") + length).alias("until")))
+        hot = saved(around.where("hot").select("d", "x", "pos", "left", "right"), "repeats-crowded")
+        groups, covered = refined(hot, length, k, max_run)
+        grouped = groups.distinct().join(hot, ["d", "x", "pos"]).repartition(tasks, "lo", "g1", "g2")
+        spans = spans.unionByName(grouped.select("lo", "d", "x", "pos", "left", "right").mapInArrow(match, f"{_ID}, begin long, until long")).unionByName(covered)
     listed_spans = spans.groupBy("d", "x").agg(F.collect_set(F.struct("begin", "until")).alias("spans"))
     joined = whole.join(listed_spans, ["d", "x"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<begin:long,until:long>>, kept binary")
