@@ -118,7 +118,9 @@ def read_records(index: DataFrame, *, range_bytes: int = 8 << 20, gap_bytes: int
     """The records of the given index rows, read in sorted, coalesced byte ranges."""
     c = F.col
     ranged = index.select("path", "file", "offset", "length", F.floor(c("offset") / range_bytes).alias("range"))
-    dealt = ranged.repartition("path", "file", "range").sortWithinPartitions("path", "file", "offset")
+    # tasks by the bytes they will read: index rows are far too small to tell
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // (4 * range_bytes)))
+    dealt = ranged.repartition(tasks, "path", "file", "range").sortWithinPartitions("path", "file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
