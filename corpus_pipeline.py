@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from quillstone.llm import line_dedup, mixing
 from quillstone.llm.line_crf import keep_good
 from quillstone.llm.packing import pack
-from quillstone.llm.simhash import one_of_each
+from quillstone.llm.shingle_join import one_of_each_similar
 from quillstone.llm.storage import saved
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Near copies: shingles of five words, fingerprints within three of 64 bits.
-WIDTH, BITS = 5, 3
+#: Near copies: Jaccard of at least 0.8 over shingles of five words. BITS is not used by the stage (fingerprints
+#: within three bits are copies of about 0.97 and up only); tests/llm/test_pipeline.py reads it.
+WIDTH, BITS, SIMILAR = 5, 3, 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies, keep the document with the smallest id."""
-    return one_of_each(docs.select(*COLUMNS), width=WIDTH, bits=BITS)
+    return one_of_each_similar(docs.select(*COLUMNS), width=WIDTH, threshold=SIMILAR)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
