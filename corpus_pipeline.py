@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out every line that an earlier line matches."""
-    return line_dedup.dedup_lines(docs.select(*COLUMNS))
+    return line_dedup.dedup_lines(docs.select(*COLUMNS), min_words=1)
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"), min_words=1)
 
 
 QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_simhash": op5_simhash, "op8_language_model": op8_language_model, "op4_packing": op4_packing, "op7_suffix_dedup": op7_suffix_dedup, "op6_line_crf": op6_line_crf, "op9_warc": op9_warc, "op10_mixing": op10_mixing, "op2_nearest": op2_nearest, "op1_line_dedup": op1_line_dedup}
