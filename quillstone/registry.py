@@ -66,16 +66,17 @@ def _point_sql(dims: int, point: tuple[float, ...], where: str = "", tail: str =
 # -- text
 
 
-def _english(spark: SparkSession, sf_dir: str, lang: str = "en") -> DataFrame:
-    return _read(spark, sf_dir, "documents").where(F.col("lang") == lang)
+def _documents(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return docs if lang is None else docs.where(F.col("lang") == lang)
 
 
 def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fulltext.term_counts(_english(spark, sf_dir), "doc_id", F.col("text"), "simple")
+    return fulltext.term_counts(_documents(spark, sf_dir), "doc_id", F.col("text"), "simple")
 
 
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _english(spark, sf_dir).select("doc_id", F.size(plain_tokens(F.col("text"), "simple")).cast("long").alias("n_tokens"))
+    return _documents(spark, sf_dir).select("doc_id", F.size(plain_tokens(F.col("text"), "simple")).cast("long").alias("n_tokens"))
 
 
 def text_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,21 +84,21 @@ def text_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_df_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fulltext.inverse_frequencies(_tf(spark, sf_dir), _english(spark, sf_dir).count()).select("term", "df", F.round("idf", 6).alias("idf"))
+    return fulltext.inverse_frequencies(_tf(spark, sf_dir), _documents(spark, sf_dir).count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def text_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = fulltext.build(_english(spark, sf_dir), "doc_id", F.col("text"), "simple")
+    index = fulltext.build(_documents(spark, sf_dir), "doc_id", F.col("text"), "simple")
     return index.norms.select("doc_id", F.round("norm", 6).alias("norm"))
 
 
 QUERY = "the thonre ering tion reing with the haned"
 
 
-def _search(limit: int | None, language: str = "simple", lang: str = "en", query: str = QUERY, virtual: bool = False):
+def _search(limit: int | None, language: str = "simple", lang: str | None = None, query: str = QUERY, virtual: bool = False):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         engine = Engine(spark)
-        engine.register("docs", _english(spark, sf_dir, lang), "doc_id")
+        engine.register("docs", _documents(spark, sf_dir, lang), "doc_id")
         column = "text"
         if virtual:
             engine.sql("ALTER TABLE docs ADD COLUMN both AS CONCAT(source, text)")
