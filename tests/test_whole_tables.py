@@ -1,4 +1,5 @@
 import math
+from pathlib import Path
 
 from quillstone import registry
 
@@ -14,3 +15,9 @@ def test_text_queries_read_all_languages(spark, tmp_path):
     assert sorted(r[0] for r in run("text_norms")) == [1, 2, 3, 4]
     for name in ("fulltext_all", "fulltext_topk", "fulltext_virtual"):
         assert sorted(r[0] for r in run(name)) == [1, 3], name
+
+
+def test_catalog_counts_every_table(spark):
+    d = "/root/testdata/sf0.001"
+    got = {r["table"]: r["rows"] for r in registry.catalog_stats(spark, d).collect()}
+    assert got == {p.stem: spark.read.parquet(str(p)).count() for p in Path(d).glob("*.parquet")}
