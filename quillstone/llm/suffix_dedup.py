@@ -27,7 +27,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytekit import mix, slices, text_bytes
@@ -260,6 +260,11 @@ def _match(batches: Iterator[pa.RecordBatch], length: int, k: int, batch_size: i
             yield out
 
 
+def _two_hashes(core: Column) -> tuple[Column, Column]:
+    """Independent 64-bit hashes: arguments are chained as seeds, so the literal comes first."""
+    return F.xxhash64(core), F.xxhash64(F.lit(1), core)
+
+
 def refined(hot: DataFrame, length: int, k: int, max_run: int) -> tuple[DataFrame, DataFrame]:
     """Crowded records by what all windows of an interval of splits share: (d, x, pos, lo, g1, g2) groups, and covered spans.
 
@@ -273,7 +278,7 @@ def refined(hot: DataFrame, length: int, k: int, max_run: int) -> tuple[DataFram
     def cores(rows: DataFrame) -> DataFrame:
         core = F.concat(F.substring("left", F.octet_length("left") - c("lo") + 1, c("lo")), F.substring("right", F.lit(1), length - c("hi")))
         fits = (F.octet_length("left") >= c("lo")) & (F.octet_length("right") >= length - c("hi"))
-        return rows.where(fits).select("d", "x", "pos", "lo", "hi", F.xxhash64(core).alias("g1"), F.xxhash64(core, F.lit(1)).alias("g2"))
+        return rows.where(fits).select("d", "x", "pos", "lo", "hi", *(h.alias(g) for h, g in zip(_two_hashes(core), ("g1", "g2"), strict=True)))
 
     mid = F.floor((c("lo") + c("hi")) / 2).cast("int")
     halves = F.explode(F.array(F.struct(c("lo").alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), c("hi").alias("b")))).alias("i")
