@@ -59,6 +59,18 @@ def saved(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     return out
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names like the given ones that no column has (case aside)."""
+    taken = {x.lower() for x in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fresh(table: DataFrame) -> DataFrame:
     """The saved table read anew, with columns of its own: for joins of a table with itself."""
     return table.sparkSession.read.schema(table.schema).parquet(table._saved_at)
