@@ -5,12 +5,14 @@ target weight. A document's count inverts the Poisson distribution function of i
 at a uniform number hashed from its id, so counts don't depend on partitions, order or retries.
 Documents are exploded by their counts and dealt out globally in hash order.
 
-Only DataFrame functions are used. The distribution tables hold a few dozen numbers per source; a
-hot source is a map-side count and, where the table is too large to be sent to all tasks, a join
-whose skew adaptive execution splits.
+Only DataFrame functions are used. A hot source is a map-side count. The distribution tables hold a
+few dozen numbers per source; up to ``send`` numbers in all they are sent to all tasks, and texts move
+once, to the place their hash names; beyond that documents are joined by source, and adaptive execution
+splits the hot ones.
 
 Cases: a null source is a source of its own; a null doc_id hashes as the word null; rows that
-repeat an id get equal counts, each for itself; sources that the targets don't name have weight
+repeat an id get equal counts, each for itself (those without id are placed by their texts, so they fill
+no one partition); sources that the targets don't name have weight
 zero and are left out; null texts are kept as they are. Extra columns pass through, but an input
 column named copy is replaced by the copy number (from 1). An empty table gives an empty result.
 """
@@ -20,7 +22,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_KEY, _CDF, _U, _AT = "_mix_source", "_mix_cdf", "_mix_u", "_mix_at"
+from .storage import saved, unused
+
+_KEY, _CDF = "_mix_source", "_mix_cdf"
 
 
 def _source() -> F.Column:
@@ -59,16 +63,23 @@ def distribution(rate: DataFrame) -> DataFrame:
     return upward.groupBy(_KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "p"))), lambda s: s["p"]).alias(_CDF))
 
 
-def mix(docs: DataFrame, targets: DataFrame | None = None, *, size: float | None = None, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame | None = None, *, size: float | None = None, seed: int = 7, send: int = 1_000_000) -> DataFrame:
     """The columns of docs and copy, each document as often as drawn, in global hash order."""
     c = F.col
     keep = [x for x in docs.columns if x != "copy"]
-    table = distribution(rates(docs.select("source"), targets, size))
-    drawn = docs.select(*keep, _source().alias(_KEY), _uniform(seed, "count").alias(_U)).join(table, _KEY)
-    count = F.size(F.filter(c(_CDF), lambda p: p <= c(_U)))
-    many = drawn.withColumn(_AT, count).where(c(_AT) > 0).select(*keep, F.explode(F.sequence(F.lit(1), c(_AT))).alias("copy"))
-    placed = many.withColumn(_AT, F.xxhash64(F.lit(seed), "doc_id", "copy"))
-    return placed.repartitionByRange(c(_AT), c("doc_id"), c("copy")).sortWithinPartitions(_AT, "doc_id", "copy").drop(_AT)
+    key, cdf, at = unused([*docs.columns, "copy"], _KEY, _CDF, "_mix_at")
+    table = saved(distribution(rates(docs.select("source"), targets, size)), "mixing-counts").toDF(key, cdf)
+    small = table.agg(F.coalesce(F.sum(F.size(cdf)), F.lit(0))).first()[0] <= send
+    drawn = docs.select(*keep, _source().alias(key)).join(F.broadcast(table) if small else table, key)
+    u = _uniform(seed, "count")
+    count = F.size(F.filter(c(cdf), lambda p: p <= u))
+    many = drawn.select(*keep, F.explode(F.when(count > 0, F.sequence(F.lit(1), count))).alias("copy"))
+    text = [F.when(c("doc_id").isNull(), F.xxhash64("text"))] if "text" in keep else []
+    placed = many.withColumn(at, F.xxhash64(F.lit(seed), "doc_id", "copy", *text))
+    # hashes are even: ranges of equal width need no sample of the rows
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.shiftright(F.shiftrightunsigned(c(at).bitwiseXOR(F.lit(-(1 << 63))), 33) * parts, 31).cast("int")
+    return placed.repartitionById(parts, part).sortWithinPartitions(at, "doc_id", "copy").drop(at)
 
 
 #: DuckDB SQL for mix(documents) with the default targets.

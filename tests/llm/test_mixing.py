@@ -45,3 +45,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert set(got.columns) == {*odd_docs.columns, "copy"} and got.count() > 0
     assert mixing.mix(no_docs).collect() == []
     assert set(mixing.mix(odd_docs.withColumnRenamed("key", "copy")).columns) == {*odd_docs.columns, "copy"} - {"key"}
+
+
+def test_any_column_names_and_a_joined_table(spark):
+    names = ["_mix_source", "_mix_u", "_mix_cdf", "_mix_at", "_MIX_AT_"]
+    df = spark.createDataFrame([(i if i % 4 else None, f"t{i}", f"s{i % 3}", *(f"{n}{i}" for n in names)) for i in range(90)], f"doc_id long, text string, source string, {', '.join(f'{n} string' for n in names)}")
+    got = [tuple(r) for r in mixing.mix(df).collect()]
+    assert mixing.mix(df).columns == [*df.columns, "copy"]
+    rows = Counter(tuple(r) for r in df.collect())
+    assert got and all(r[:-1] in rows for r in got)
+    assert [tuple(r) for r in mixing.mix(df, send=0).collect()] == got
