@@ -6,14 +6,23 @@ smallest hash of ``k`` bytes. Equal windows have their anchor at the same place,
 lost. Anchors whose k bytes occur once in all documents can't be in a repeat and are dropped before
 any text moves. The other anchors are dealt out by their hash, each with the bytes around it.
 
-A task keeps a logarithmic index family: arriving records form batches; a batch gets a suffix array
-(records sorted by the bytes from the anchor on), is merge-scanned against each existing level, and
-levels of equal size merge. A scan looks at runs with k equal bytes and finds for each record how
+Documents come in batches. An Index keeps a logarithmic family of levels: a new batch's anchors become
+a run sorted by the hash of the bytes that follow (a sparse suffix array in shared storage), its keys are
+merge-scanned against every level there is, and levels of equal rank are merged into one of the
+next. Only anchors that a batch has in common with a level, or twice in itself, fetch the bytes
+around them, which are dealt out by key and compared in the order of their suffixes; what
+was compared in earlier batches isn't compared again. A task that is dealt many records works the same
+way in memory: batches get suffix arrays, are merge-scanned against its levels, equal levels merge.
+A scan looks at runs with k equal bytes and finds for each record how
 far left and right of its anchor it lies in matches of the full length. Runs of few records compare
 pairs; others intersect classes of equal left and right parts, level by level of the common-prefix
-arrays, in linear space. Keys with over ``max_run`` records are not gathered in one task: their
-records are regrouped by the longer cores that windows with similar splits share, halving the
-interval of splits as long as a group is crowded; cores are compared by 128-bit hashes.
+arrays, in linear space.
+
+Keys with over ``max_run`` records are not gathered in one task. Their records with equal
+surroundings cover each other whole, so one of each class stands for all. Where still over ``max_run``
+classes share a key, they are regrouped by the longer cores that windows with similar splits share,
+halving the interval of splits as long as a group is crowded; surroundings and cores are compared by
+128-bit hashes.
 
 Cases: null text is empty; texts under ``length`` bytes keep everything; matches never cross texts;
 repeated rows are separate texts, so they cover each other; null and repeated doc_ids are fine.
@@ -23,7 +32,8 @@ Other columns are not read. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from dataclasses import dataclass, field
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytekit import mix, slices, text_bytes
-from .storage import bounded_batches, saved
+from .storage import bounded_batches, discard, saved
 
 _TABLE = np.random.default_rng(400).integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
 _R = 0x9E3779B97F4A7C15
@@ -82,11 +92,11 @@ def _surround(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterato
     """Each listed anchor with the bytes before it (back to the farthest window) and from it on."""
     for batch in batches:
         out: list[tuple] = []
-        for d, x, text, found in zip(*(batch.column(c).to_pylist() for c in ("d", "x", "text", "found")), strict=True):
+        for d, x, old, text, found in zip(*(batch.column(c).to_pylist() for c in ("d", "x", "old", "text", "found")), strict=True):
             data = text.encode()
             for f in found:
                 a = f["pos"]
-                out.append((d, x, a, f["key"], f["hot"], data[max(0, a - length + k) : a], data[a : a + length]))
+                out.append((d, x, a, f["key"], old, data[max(0, a - length + k) : a], data[a : a + length]))
                 if len(out) >= 20_000:
                     yield _records(out)
                     out = []
@@ -96,7 +106,7 @@ def _surround(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterato
 
 def _records(out: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["d", "x", "pos", "key", "hot", "left", "right"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["d", "x", "pos", "key", "old", "left", "right"])
 
 
 def _matrix(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +216,7 @@ def _wide(run: np.ndarray, order: np.ndarray, up: np.ndarray, left: np.ndarray,
 
 
 class Family:
-    """The levels of one task; add() returns nothing, spans() the covered ranges so far."""
+    """The levels of one task; add() and hold() return nothing, spans() the covered ranges so far."""
 
     def __init__(self, length: int, k: int):
         self.length, self.k = length, k
@@ -220,15 +230,23 @@ class Family:
         scan(records, None if first_new is None else names >= first_new, self.length, self.k, local)
         self.reach[names] = np.maximum(self.reach[names], local)
 
-    def add(self, batch: list[tuple]) -> None:
-        """batch: (d, x, pos, left, right) records."""
+    def _level(self, batch: list[tuple]) -> tuple[int, Level]:
         base = len(self.owners)
         self.owners += [r[:3] for r in batch]
         self.reach = np.concatenate([self.reach, np.zeros((len(batch), 2), np.int64)])
-        level, rank = Level.of([(r[4], r[3][::-1], base + i) for i, r in enumerate(batch)]), 0
+        return base, Level.of([(r[4], r[3][::-1], base + i) for i, r in enumerate(batch)])
+
+    def hold(self, batch: list[tuple]) -> None:
+        """Records of earlier batches of documents: a level of its own, not compared in itself."""
+        self.levels.append((1 << 30, self._level(batch)[1]))
+
+    def add(self, batch: list[tuple]) -> None:
+        """batch: (d, x, pos, left, right) records."""
+        base, level = self._level(batch)
+        rank = 0
         self._scan(level.records, None)
-        for _, old in self.levels:
-            self._scan(level.merged(old).records, base)
+        for _, other in self.levels:
+            self._scan(level.merged(other).records, base)
         while self.levels and self.levels[-1][0] == rank:
             level, rank = level.merged(self.levels.pop()[1]), rank + 1
         self.levels.append((rank, level))
@@ -243,19 +261,16 @@ class Family:
 
 def _match(batches: Iterator[pa.RecordBatch], length: int, k: int, batch_size: int) -> Iterator[pa.RecordBatch]:
     """lo: records of crowded keys come once per interval of splits; each interval has its own family."""
-    families: dict[int, Family] = {}
-    held: dict[int, list] = {}
+    held: dict[int, tuple[list, list]] = {}
     for batch in batches:
-        for lo, *record in zip(*(batch.column(c).to_pylist() for c in ("lo", "d", "x", "pos", "left", "right")), strict=True):
-            held.setdefault(lo, []).append(record)
-        for lo, records in held.items():
-            family = families.setdefault(lo, Family(length, k))
-            while len(records) >= batch_size:
-                family.add(records[:batch_size])
-                del records[:batch_size]
-    for lo, family in families.items():
-        if held[lo]:
-            family.add(held[lo])
+        for lo, old, *record in zip(*(batch.column(c).to_pylist() for c in ("lo", "old", "d", "x", "pos", "left", "right")), strict=True):
+            held.setdefault(lo, ([], []))[old].append(record)
+    for new, old in held.values():
+        family = Family(length, k)
+        if old:
+            family.hold(old)
+        for a in range(0, len(new), batch_size):
+            family.add(new[a : a + batch_size])
         if (out := family.spans()) is not None:
             yield out
 
@@ -265,11 +280,34 @@ def _two_hashes(core: Column) -> tuple[Column, Column]:
     return F.xxhash64(core), F.xxhash64(F.lit(1), core)
 
 
+def _sides(rows: DataFrame) -> DataFrame:
+    """Records as the matching tasks take them, every split in one family."""
+    return rows.select(F.lit(0).alias("lo"), "old", "d", "x", "pos", "key", "left", "right")
+
+
+def collapsed(hot: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """One record of each class of equal surroundings of a key, and the spans that classes of more than one cover.
+
+    A class of any size is summed up on the map side; a member is new if the class has a new one.
+    """
+    c = F.col
+    g1, g2 = _two_hashes(F.concat_ws("", F.hex("left"), F.lit("|"), F.hex("right")))
+    named = saved(hot.withColumns({"g1": g1, "g2": g2}), "repeats-crowded")
+    by = ["key", "g1", "g2"]
+    classes = named.groupBy(*by).agg(F.count("*").alias("n"), F.min("old").alias("old"), F.min(F.struct("d", "x", "pos", "left", "right")).alias("r"))
+    classes = saved(classes.select(*by, "n", "old", "r.*"), "repeats-classes")
+    many = classes.where((c("n") > 1) & (F.octet_length("left") + F.octet_length("right") >= length)).select(*by)
+    members = named.select(*by, "d", "x", "pos", (c("pos") - F.octet_length("left")).alias("begin"), (c("pos") + F.octet_length("right")).alias("until"))
+    spans = saved(members.join(many, by, "left_semi").select("d", "x", "begin", "until"), "repeats-twins")
+    discard(named)
+    return classes.drop("g1", "g2", "n"), spans
+
+
 def refined(hot: DataFrame, length: int, k: int, max_run: int) -> tuple[DataFrame, DataFrame]:
     """Crowded records by what all windows of an interval of splits share: (d, x, pos, lo, g1, g2) groups, and covered spans.
 
     A window with l bytes left of the anchor, lo <= l <= hi, holds lo bytes to the left and
-    length - hi from the anchor on. Records are grouped by that core; single ones are dropped,
+    length - hi from the anchor on. Records are grouped by that core;
     groups still crowded have their interval halved, down to one split, where the core is the window.
     """
     c = F.col
@@ -283,19 +321,21 @@ def refined(hot: DataFrame, length: int, k: int, max_run: int) -> tuple[DataFram
     mid = F.floor((c("lo") + c("hi")) / 2).cast("int")
     halves = F.explode(F.array(F.struct(c("lo").alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), c("hi").alias("b")))).alias("i")
     split = lambda rows: rows.select("*", halves).drop("lo", "hi").select("*", c("i.a").alias("lo"), c("i.b").alias("hi")).drop("i")
-    now = split(hot.withColumns({"lo": F.lit(0), "hi": F.lit(length - k)}))
+    now = split(hot.select("d", "x", "pos", "left", "right").withColumns({"lo": F.lit(0), "hi": F.lit(length - k)}))
     groups, spans = None, None
     while True:
         held = saved(cores(now), "repeats-cores")
-        sizes = held.groupBy(*where).agg(F.count("*").alias("n")).where(c("n") > 1)
-        live = saved(held.join(sizes, where), "repeats-groups")
-        few = live.where(c("n") <= max_run).select("d", "x", "pos", "lo", "g1", "g2")
-        whole = live.where((c("n") > max_run) & (c("lo") == c("hi"))).select("d", "x", (c("pos") - c("lo")).alias("begin"), (c("pos") - c("lo") + length).alias("until"))
+        # only crowded groups are looked up: a row for every max_run records at most
+        large = saved(held.groupBy(*where).agg(F.count("*").alias("n")).where(c("n") > max_run).select(*where), "repeats-large")
+        known = F.broadcast(large) if large.limit(100_001).count() <= 100_000 else large
+        live = held.join(known, where, "left_semi")
+        few = held.join(known, where, "left_anti").select("d", "x", "pos", "lo", "g1", "g2")
+        whole = live.where(c("lo") == c("hi")).select("d", "x", (c("pos") - c("lo")).alias("begin"), (c("pos") - c("lo") + length).alias("until"))
         groups, spans = (few, whole) if groups is None else (groups.unionByName(few), spans.unionByName(whole))
-        crowded = live.where((c("n") > max_run) & (c("lo") < c("hi"))).select("d", "x", "pos", "lo", "hi")
+        crowded = live.where(c("lo") < c("hi")).select("d", "x", "pos", "lo", "hi")
         if not crowded.limit(1).count():
             return groups, spans
-        now = split(crowded.distinct().join(hot, ["d", "x", "pos"]))
+        now = split(crowded.distinct().join(hot.select("d", "x", "pos", "left", "right"), ["d", "x", "pos"]))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,26 +359,95 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("until", pa.int64())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 400, k: int = 64, max_run: int = 100_000, batch_size: int = 32768, task_bytes: int = 96 << 20) -> DataFrame:
+@dataclass
+class Index:
+    """What was added so far: levels (rank, table of anchors sorted by key), the batches' texts and the spans found.
+
+    Texts are read where the caller keeps them, so the tables given to add() must stay readable.
+    """
+
+    length: int = 400
+    k: int = 64
+    max_run: int = 100_000
+    batch_size: int = 32768
+    task_bytes: int = 96 << 20
+    levels: list[tuple[int, DataFrame]] = field(default_factory=list)
+    texts: list[DataFrame] = field(default_factory=list)
+    spans: list[DataFrame] = field(default_factory=list)
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Add a batch of documents: d, x (keys of documents), begin and until of what it covers, in itself and in earlier batches."""
+        c = F.col
+        length, k = self.length, self.k
+        whole = keyed(docs).where(F.octet_length("text") >= length).select("d", "x", "text")
+        found = whole.mapInArrow(partial(_find, length=length, k=k), f"{_ID}, pos long, key long")
+        fresh = saved(found.repartition("key").sortWithinPartitions("key"), "repeats-level", 1000)
+        counted, many = fresh.groupBy("key").agg(F.count("*").alias("new")), c("new")
+        for i, (_, level) in enumerate(self.levels):  # merge-scans: both sides are sorted by key
+            counted = counted.join(level.groupBy("key").agg(F.count("*").alias(f"old{i}")), "key", "left")
+            many = many + F.coalesce(f"old{i}", F.lit(0))
+        crowd = counted.select("key", many.alias("n")).where(c("n") > 1).withColumn("hot", c("n") > self.max_run)
+        crowd = saved(crowd, "repeats-keys")
+        records, some = crowd.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("hot"), F.lit(False))).first()
+        anchored = fresh.withColumn("old", F.lit(False))
+        texts = whole.withColumn("old", F.lit(False))
+        for _, level in self.levels:
+            anchored = anchored.unionByName(level.withColumn("old", F.lit(True)))
+        for earlier in self.texts:
+            texts = texts.unionByName(earlier.withColumn("old", F.lit(True)))
+
+        def around(hot: bool) -> DataFrame:
+            listed = anchored.join(crowd.where(c("hot") == hot).select("key"), "key").groupBy("d", "x", "old").agg(F.collect_set(F.struct("pos", "key")).alias("found"))
+            joined = texts.join(listed, ["d", "x", "old"]).select("d", "x", "old", "text", "found")
+            return joined.mapInArrow(partial(_surround, length=length, k=k), f"{_ID}, pos long, key long, old boolean, left binary, right binary")
+
+        tasks = max(1, -(-records * 2 * length // self.task_bytes))
+        match = partial(_match, length=length, k=k, batch_size=self.batch_size)
+        shape = f"{_ID}, begin long, until long"
+        spans = _sides(around(False)).repartition(tasks, "key").mapInArrow(match, shape)
+        if some:
+            classes, twins = collapsed(around(True), length)
+            spans = spans.unionByName(twins)
+            large = saved(classes.groupBy("key").agg(F.count("*").alias("n")).where(c("n") > self.max_run).select("key"), "repeats-large")
+            spans = spans.unionByName(_sides(classes.join(large, "key", "left_anti")).repartition(tasks, "key").mapInArrow(match, shape))
+            if large.limit(1).count():
+                hot = saved(classes.join(large, "key"), "repeats-crowded")
+                groups, covered = refined(hot, length, k, self.max_run)
+                grouped = groups.distinct().join(hot, ["d", "x", "pos"]).repartition(tasks, "lo", "g1", "g2")
+                spans = spans.unionByName(grouped.select("lo", "old", "d", "x", "pos", "left", "right").mapInArrow(match, shape)).unionByName(covered)
+        out = saved(spans.distinct(), "repeats-spans", 1000)
+        discard(crowd)
+        level, rank = fresh, 0
+        while self.levels and self.levels[-1][0] == rank:
+            other = self.levels.pop()[1]
+            merged = saved(level.unionByName(other).repartition("key").sortWithinPartitions("key"), "repeats-level")
+            discard(level, other)
+            level, rank = merged, rank + 1
+        self.levels.append((rank, level))
+        self.texts.append(whole)
+        self.spans.append(out)
+        return out
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """d and x (the id and a hash of the text), doc_id and text of every row."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(doc_id, F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("x"), doc_id.alias("doc_id"), text.alias("text"))
+
+
+def cut(docs: DataFrame, spans: list[DataFrame]) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges, maximal) and kept (the remaining bytes) of every row."""
-    c = F.col
-    bounded_batches(docs.sparkSession)
-    text = F.coalesce(c("text").cast("string"), F.lit(""))
-    whole = docs.select(F.coalesce(c("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("x"), c("doc_id").cast("long"), text.alias("text"))
-    found = whole.where(F.octet_length("text") >= length).select("d", "x", "text").mapInArrow(partial(_find, length=length, k=k), f"{_ID}, pos long, key long")
-    found = saved(found, "repeats-anchors")
-    total = found.count()
-    crowd = found.groupBy("key").agg(F.count("*").alias("n")).where(c("n") > 1).select("key", (c("n") > max_run).alias("hot"))
-    listed = found.join(crowd, "key").groupBy("d", "x").agg(F.collect_set(F.struct("pos", "key", "hot")).alias("found"))
-    around = whole.join(listed, ["d", "x"]).select("d", "x", "doc_id", "text", "found").mapInArrow(partial(_surround, length=length, k=k), f"{_ID}, pos long, key long, hot boolean, left binary, right binary")
-    tasks = max(1, -(-total * 2 * length // task_bytes))
-    match = partial(_match, length=length, k=k, batch_size=batch_size)
-    spans = around.where(~c("hot")).select(F.lit(0).alias("lo"), "d", "x", "pos", "key", "left", "right").repartition(tasks, "key").mapInArrow(match, f"{_ID}, begin long, until long")
-    if crowd.where("hot").limit(1).count():
-        hot = saved(around.where("hot").select("d", "x", "pos", "left", "right"), "repeats-crowded")
-        groups, covered = refined(hot, length, k, max_run)
-        grouped = groups.distinct().join(hot, ["d", "x", "pos"]).repartition(tasks, "lo", "g1", "g2")
-        spans = spans.unionByName(grouped.select("lo", "d", "x", "pos", "left", "right").mapInArrow(match, f"{_ID}, begin long, until long")).unionByName(covered)
-    listed_spans = spans.groupBy("d", "x").agg(F.collect_set(F.struct("begin", "until")).alias("spans"))
-    joined = whole.join(listed_spans, ["d", "x"], "left").select("doc_id", "text", "spans")
+    listed = reduce(DataFrame.unionByName, spans).groupBy("d", "x").agg(F.collect_set(F.struct("begin", "until")).alias("spans"))
+    joined = keyed(docs).join(listed, ["d", "x"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<begin:long,until:long>>, kept binary")
+
+
+def remove_repeats(docs: DataFrame, *, batches: int = 2, **options) -> DataFrame:
+    """cut() of all documents, added to an index in batches dealt out by the hash of the text."""
+    bounded_batches(docs.sparkSession)
+    index = Index(**options)
+    for b in range(batches):
+        index.add(docs.where(F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(batches)) == b))
+    discard(*(level for _, level in index.levels))
+    return cut(docs, index.spans)
