@@ -115,7 +115,7 @@ def _search(limit: int | None, language: str = "simple", lang: str | None = None
 
 def _tokens_sql(text: str = "text") -> str:
     return f"""
-docs AS (SELECT doc_id, {text} AS text FROM documents WHERE lang = 'en'),
+docs AS (SELECT doc_id, {text} AS text FROM documents),
 words AS (SELECT doc_id, unnest(string_split_regex(trim(regexp_replace(lower(text), '[^\\p{{L}}\\s]', ' ', 'g')), '\\s+')) AS term FROM docs),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE length(term) > 1 GROUP BY ALL),
 df AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM docs)::DOUBLE / count(*)) AS idf FROM tf GROUP BY term),
@@ -346,5 +346,5 @@ SELECT count(DISTINCT id) AS inserted, count(*) - count(DISTINCT id) AS duplicat
 SELECT key, round(dot / (norm * (SELECT sqrt(sum(qw * qw)) FROM q)), 6) AS score FROM s WHERE key <> 0 ORDER BY score DESC, key LIMIT 8""",
     "bovw_inv_topk": f"""WITH {_bovw_sql()}, s AS (SELECT key, sum(share * idf * qw) AS dot, sqrt(sum((share * idf) * (share * idf))) AS norm FROM hist JOIN idf USING (word) LEFT JOIN (SELECT * FROM q WHERE qw > 0) p USING (word) GROUP BY key)
 SELECT key, round(dot / (norm * (SELECT sqrt(sum(qw * qw)) FROM q WHERE qw > 0)), 6) AS score FROM s WHERE key <> 0 AND dot IS NOT NULL ORDER BY score DESC, key LIMIT 8""",
-    "catalog_stats": " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {t}" for t in KEYS),
+    "catalog_stats": " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {t}" for t in (*KEYS, *COUNTED)),
 }
