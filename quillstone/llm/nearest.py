@@ -6,7 +6,13 @@ bounded sample; every vector is indexed in its cell. A query first searches its
 leaves come in order of their projected distance, their points are verified on the original
 vectors, and the search stops once the next leaf is so far that a nearer neighbour would be
 projected there with probability under 1 - ``sure`` at most. The bound it has then decides which
-other cells can still hold one; those are searched the same way.
+other cells can still hold one; those are searched the same way. ``sure`` is thus the least expected
+recall: a neighbour at the very distance of the k-th is found with that probability, nearer ones
+with a higher one. How much the test spares depends on the data; where all distances are alike,
+as in isotropic random vectors, a large share of the projected space is within reach of each query.
+
+A cell is cut into parts of bounded size by a hash of the id, and a query of the cell goes to all of
+them, so no task holds more than 4 * ``cell_rows`` vectors, however many there are.
 
 Equal vectors are ordered by id alone, so of each group of copies the k + 1 smallest ids stand for
 all, and equal queries are searched once. Copies of one vector therefore load no task.
@@ -27,9 +33,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import chi2
-from .storage import bounded_batches, saved
+from .storage import saved
 
-LEAF = 32
+LEAF = 64
 
 
 def _rows(column, dim: int) -> np.ndarray:
@@ -131,7 +137,7 @@ def search_cell(tree: KdTree, vectors: np.ndarray, ids: np.ndarray, q: np.ndarra
             break
         rows = np.concatenate([tree.leaves[i] for i in leaves])
         gap = tree.points[rows] - projected
-        rows = rows[(gap * gap).sum(axis=1) <= radius]
+        rows = rows[np.einsum("ij,ij->i", gap, gap) <= radius]
         cos = (vectors[rows] * q).sum(axis=1)
         best_ids, best = np.concatenate([best_ids, ids[rows]]), np.concatenate([best, cos])
         top = np.lexsort((best_ids, -best))[:k]
@@ -139,18 +145,17 @@ def search_cell(tree: KdTree, vectors: np.ndarray, ids: np.ndarray, q: np.ndarra
         if len(best) == k:
             limit = max(bound, float(best[-1]))
         at += step
-        step = 16
+        step = min(2 * step, 64)
     return best_ids, best
 
 
-def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, dims: int = 8, sure: float = 0.98, cell_rows: int = 4096, sample: int = 32_768, seed: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, dims: int = 16, sure: float = 0.92, cell_rows: int = 4096, sample: int = 32_768, seed: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest of all rows but its own.
 
     is_query: a condition on vec_id. sample: rows that the cells are fitted to; one cell per
-    cell_rows vectors, but no more than sample / 8.
+    cell_rows vectors, but no more than sample / 8: larger cells are cut into parts.
     """
     c = F.col
-    bounded_batches(vectors.sparkSession, 2000)
     wide = vectors.select(c("vec_id").cast("long"), c("embedding").cast("array<double>"))
     finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sound = wide.where(c("vec_id").isNotNull() & c("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
@@ -188,29 +193,34 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, dims: int = 8,
         return pa.table(dict(zip(("uid", "vec_id", "score"), cols, strict=True)))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            p = unit(_rows(batch.column("embedding"), dim)) @ project
-            bound = batch.column("bound").to_numpy()
-            to = [np.flatnonzero(grid.distances(x) <= stretch * (2 - 2 * b) + 1e-9) for x, b in zip(p, bound, strict=True)]
-            to = [t[t != home] for t, home in zip(to, batch.column("home").to_pylist(), strict=True)]
-            row = np.repeat(np.arange(len(to)), [len(t) for t in to])
-            moved = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to)), moved.column("uid"), moved.column("embedding"), moved.column("bound")], names=["cell", "uid", "embedding", "bound"])
-
-    placed = saved(base.mapInArrow(place, "cell long, vec_id long, embedding array<double>"), "nearest-cells")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                p = unit(_rows(batch.column("embedding"), dim)) @ project
+                bound = batch.column("bound").to_numpy()
+                to = [np.flatnonzero(grid.distances(x) <= stretch * (2 - 2 * b) + 1e-9) for x, b in zip(p, bound, strict=True)]
+                to = [t[t != home] for t, home in zip(to, batch.column("cell").to_pylist(), strict=True)]
+                row = np.repeat(np.arange(len(to)), [len(t) for t in to])
+                moved = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to)), moved.column("uid"), moved.column("embedding"), moved.column("bound")], names=["cell", "uid", "embedding", "bound"])
+
+    placed = base.mapInArrow(place, "cell long, vec_id long, embedding array<double>")
+    placed = saved(placed, "nearest-cells")
+    # a row per cell, of which there are sample / 8 at most
+    parts = F.broadcast(placed.groupBy("cell").agg(F.ceil(F.count("*") / (4 * cell_rows)).alias("parts")))
+    held = placed.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), c("parts"))).drop("parts")
+    everywhere = lambda q: q.join(parts, "cell").select("*", F.explode(F.sequence(F.lit(0), c("parts") - 1)).alias("part")).drop("parts")
+    searched = lambda q: everywhere(q).groupBy("cell", "part").cogroup(held.groupBy("cell", "part")).applyInArrow(look, "uid long, vec_id long, score double")
     asked = sound.where(is_query)
     once = asked.groupBy("embedding").agg(F.min("vec_id").alias("vec_id")).mapInArrow(place, "cell long, vec_id long, embedding array<double>")
-    once = saved(once.select(c("cell").alias("home"), c("vec_id").alias("uid"), "embedding"), "nearest-queries")
-    found = "uid long, vec_id long, score double"
-    at_home = once.select(c("home").alias("cell"), "uid", "embedding", F.lit(-1.0).alias("bound"))
-    one = saved(at_home.groupBy("cell").cogroup(placed.groupBy("cell")).applyInArrow(look, found), "nearest-home")
-    bounds = one.groupBy("uid").agg(F.when(F.count("*") == many, F.min("score")).otherwise(-1.0).alias("bound"))
-    onward = once.join(bounds, "uid", "left").select("home", "uid", "embedding", F.coalesce("bound", F.lit(-1.0)).alias("bound"))
-    onward = onward.mapInArrow(spread, "cell long, uid long, embedding array<double>, bound double")
-    two = onward.groupBy("cell").cogroup(placed.groupBy("cell")).applyInArrow(look, found)
+    once = saved(once.withColumnRenamed("vec_id", "uid"), "nearest-queries")
+    one = saved(searched(once.select("cell", "uid", "embedding", F.lit(-1.0).alias("bound"))), "nearest-home")
     best = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
+    # of a home cell in parts, the best over all of them bound the rest
+    home = one.withColumn("r", F.row_number().over(best)).where(c("r") <= many)
+    bounds = home.groupBy("uid").agg(F.when(F.count("*") == many, F.min("score")).otherwise(-1.0).alias("bound"))
+    onward = once.join(bounds, "uid", "left").select("cell", "uid", "embedding", F.coalesce("bound", F.lit(-1.0)).alias("bound"))
+    two = searched(onward.mapInArrow(spread, "cell long, uid long, embedding array<double>, bound double"))
     top = one.unionByName(two).withColumn("r", F.row_number().over(best)).where(c("r") <= many).drop("r")
     # the queries that share a vector share its candidates; each leaves out itself
     mine = asked.join(once.select("uid", "embedding"), "embedding").select(c("vec_id").alias("query_id"), "uid").distinct()

@@ -48,3 +48,31 @@ def test_few_and_none(spark):
     got = nn.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()
     assert [(r.rank, r.vec_id) for r in got] == [(1, 1), (2, 2)] and abs(got[0].score - 0.5**0.5) < 1e-12
     assert nn.nearest(spark.createDataFrame([], SCHEMA), F.col("vec_id") == 0).collect() == []
+
+
+def test_recall_over_many_cells_and_parts(spark):
+    """Isotropic vectors of 64 numbers, the hardest case: no structure to prune by."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(6000, 64)).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()}))
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    for options in ({"cell_rows": 300}, {"cell_rows": 100, "sample": 64}):  # 20 cells; 8 cells in parts
+        got = nn.nearest(df, F.col("vec_id") % 50 == 0, **options).toPandas()
+        hits = 0
+        for q, g in got.groupby("query_id"):
+            cos = u @ u[q]
+            cos[q] = -2
+            hits += len(set(np.argsort(-cos)[:5]) & set(g["vec_id"]))
+        assert len(got) == 600 and hits >= 0.9 * 600
+
+
+def test_the_stopping_test_spares_most_of_clustered_data():
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(40, 64))
+    v = nn.unit(centres[r.integers(0, 40, 4000)] + 0.3 * r.normal(size=(4000, 64)))
+    project = r.normal(size=(64, 16))
+    tree, stretch, seen = nn.KdTree(v @ project), nn.chi2.quantile(0.92, 16), []
+    for i in range(0, 4000, 100):
+        _, cos = nn.search_cell(tree, v, np.arange(4000), v[i], v[i] @ project, 6, -1.0, stretch)
+        seen.append((tree.distances(v[i] @ project) <= stretch * (2 - 2 * cos[-1])).mean())
+    assert np.mean(seen) < 0.3
