@@ -2,7 +2,10 @@
 
 Writing: of records with equal payloads of at least ``min_bytes`` bytes, the one with the smallest
 page_id becomes a response, the others become revisits that refer to it; all other records are
-responses. Each task writes its share into archive files, one gzip member per record, and returns
+responses. Repeated digests are found on digests and ids alone; up to ``send`` of them are sent to all tasks,
+so that no page moves before it is written, and a page that fills a third of the table is no hot key.
+Each task writes its share into archive files: a warcinfo record, then one
+gzip member per record (WARC/1.1; responses hold an HTTP head and the payload), and returns
 file, offset, length, URL, digest and identity of every record it wrote. Only files of tasks that
 Spark counts as done are in the index: what a lost or repeated task leaves behind is never read.
 
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches, new_path, saved
+from .storage import new_path, saved
 
 _INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
 _RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -38,21 +41,39 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def record_bytes(page_id: int | None, url: str | None, html: str | None, digest: str, refers_to: int | None, kind: str) -> bytes:
-    """One WARC/1.1 record as a gzip member."""
+_DATE = "1970-01-01T00:00:00Z"
+_REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+
+
+def _member(head: list[str], body: bytes) -> bytes:
+    squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return squeeze.compress("\r\n".join([*head, f"Content-Length: {len(body)}"]).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + squeeze.flush()
+
+
+def _named(kind: str, name: str, at: int) -> list[str]:
+    """The head's first lines; a record is named by its place, so repeated rows have names of their own."""
+    return ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#{at}')}>", f"WARC-Date: {_DATE}"]
+
+
+def file_head(name: str) -> bytes:
+    """The warcinfo record that opens a file."""
+    return _member([*_named("warcinfo", name, 0), f"WARC-Filename: {name}", "Content-Type: application/warc-fields"], b"software: quillstone\r\nformat: WARC File Format 1.1\r\n")
+
+
+def _uri(url: str | None) -> str:
+    return "".join(f"%{b:02X}" if b <= 32 or b == 127 else chr(b) for b in (url or "").encode()).encode("latin-1").decode(errors="replace")
+
+
+def record_bytes(name: str, at: int, page_id: int | None, url: str | None, html: str | None, digest: str, refers_to: int | None, refers_url: str | None, kind: str) -> bytes:
+    """One record as a gzip member."""
     payload = (html or "").encode()
-    body = payload if kind == "response" else b""
-    head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>", "WARC-Date: 1970-01-01T00:00:00Z",
-        "WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A"), f"WARC-Payload-Digest: sha256:{digest}", f"Quillstone-Payload-Length: {len(payload)}",
-    ]
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(payload)).encode() + b"\r\n\r\n"
+    head = [*_named(kind, name, at), f"WARC-Target-URI: {_uri(url)}", f"WARC-Payload-Digest: sha256:{digest}", f"Quillstone-Payload-Length: {len(payload)}"]
     if page_id is not None:
         head.append(f"Quillstone-Page-ID: {page_id}")
-    if refers_to is not None:
-        head += [f"WARC-Refers-To: <page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    head += ["Content-Type: application/octet-stream", f"Content-Length: {len(body)}"]
-    squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return squeeze.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + squeeze.flush()
+    if kind == "revisit":
+        head += [f"WARC-Profile: {_REVISIT}", f"WARC-Refers-To-Target-URI: {_uri(refers_url)}", f"WARC-Refers-To-Date: {_DATE}", f"Quillstone-Refers-To-Page: {refers_to}"]
+    return _member([*head, "Content-Type: application/http;msgtype=response"], http + (payload if kind == "response" else b""))
 
 
 def parse_record(data: bytes) -> tuple[tuple, int]:
@@ -66,37 +87,40 @@ def parse_record(data: bytes) -> tuple[tuple, int]:
     if first != "WARC/1.1":
         raise ValueError(f"not a record: {first[:20]!r}")
     h = dict(f.split(": ", 1) for f in fields)
-    body = rest[: int(h["Content-Length"])]
+    _, _, body = rest[: int(h["Content-Length"])].partition(b"\r\n\r\n")
     digest = h["WARC-Payload-Digest"].removeprefix("sha256:")
     if h["WARC-Type"] == "response" and hashlib.sha256(body).hexdigest() != digest:
         raise ValueError("a payload does not match its digest")
-    page, refers = h.get("Quillstone-Page-ID"), h.get("WARC-Refers-To")
-    size = len(body) if h["WARC-Type"] == "response" else int(h["Quillstone-Payload-Length"])
-    return (page and int(page), h["WARC-Target-URI"], h["WARC-Type"], refers and int(refers[6:-1]), size, digest, body), len(data) - len(inflate.unused_data)
+    page, refers = h.get("Quillstone-Page-ID"), h.get("Quillstone-Refers-To-Page")
+    return (page and int(page), h["WARC-Target-URI"], h["WARC-Type"], refers and int(refers), int(h["Quillstone-Payload-Length"]), digest, body), len(data) - len(inflate.unused_data)
 
 
-def write_archives(pages: DataFrame, path: str | None = None, *, min_bytes: int = 100, file_bytes: int = 64 << 20) -> DataFrame:
+def write_archives(pages: DataFrame, path: str | None = None, *, min_bytes: int = 100, file_bytes: int = 64 << 20, send: int = 200_000) -> DataFrame:
     """Write all pages under path (shared storage, a URI) and return the index."""
     c = F.col
     spark = pages.sparkSession
-    bounded_batches(spark)
     path = path or new_path(spark, "warc")
     html = F.coalesce(c("html").cast("string"), F.lit(""))
     full = pages.select(c("page_id").cast("long"), c("url").cast("string"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
-    first = full.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where(c("n") > 1).select("digest", "first")
+    first = full.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min(F.when(c("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n")).where(c("n") > 1)
+    first = saved(first.select("digest", c("first.page_id").alias("first"), c("first.url").alias("first_url")), "warc-repeated")
+    few = first.limit(send + 1).count() <= send
     again = c("first").isNotNull() & ~c("page_id").eqNullSafe(c("first"))
-    typed = full.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.when(again, c("first")).alias("refers_to"), F.when(again, "revisit").otherwise("response").alias("kind"))
+    typed = full.join(F.broadcast(first) if few else first, "digest", "left").select("page_id", "url", "html", "digest", F.when(again, c("first")).alias("refers_to"), F.when(again, c("first_url")).alias("refers_url"), F.when(again, "revisit").otherwise("response").alias("kind"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _filesystem(path)
         store.create_dir(root, recursive=True)
         sink, name, at, rows = None, "", 0, []
         for batch in batches:
-            for page_id, url, text, digest, refers, kind in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "html", "digest", "refers_to", "kind")), strict=True):
+            for page_id, url, text, digest, refers, refers_url, kind in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "html", "digest", "refers_to", "refers_url", "kind")), strict=True):
                 if sink is None:
-                    name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                    name = f"{uuid.uuid4().hex}.warc.gz"
                     sink = store.open_output_stream(f"{root}/{name}", compression=None)
-                data = record_bytes(page_id, url, text, digest, refers, kind)
+                    info = file_head(name)
+                    sink.write(info)
+                    at = len(info)
+                data = record_bytes(name, at, page_id, url, text, digest, refers, refers_url, kind)
                 sink.write(data)
                 rows.append((name, at, len(data), url, digest, page_id, kind))
                 at += len(data)
@@ -111,7 +135,7 @@ def write_archives(pages: DataFrame, path: str | None = None, *, min_bytes: int
             sink.close()
 
     # the index is written at once: the archives exist, and are written once, before anything reads them
-    return saved(typed.mapInArrow(write, _INDEX).withColumn("path", F.lit(path)), "warc-index")
+    return saved(typed.mapInArrow(write, _INDEX).withColumn("path", F.lit(path)), "warc-index", 1000)
 
 
 def read_records(index: DataFrame, *, range_bytes: int = 8 << 20, gap_bytes: int = 64 << 10) -> DataFrame:

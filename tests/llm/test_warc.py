@@ -1,6 +1,10 @@
 import gzip
 import hashlib
+import io
 import random
+import zlib
+from email.parser import BytesHeaderParser
+from http.client import HTTPResponse
 from pathlib import Path
 
 from quillstone.llm import warc
@@ -35,7 +39,51 @@ def test_round_trip(spark, tmp_path):
     files = {r.file for r in index.collect()}
     assert len(files) > 3 and files == {p.name for p in Path(tmp_path, "w").iterdir()}
     blob = b"".join(gzip.decompress(p.read_bytes()) for p in Path(tmp_path, "w").iterdir())
-    assert blob.count(b"WARC/1.1\r\n") == len(rows)
+    assert blob.count(b"WARC/1.1\r\n") == len(rows) + len(files)
+
+
+def records(data):
+    """A reader that shares nothing with the module: members by gzip, heads by the mail parser, HTTP by http.client."""
+    while data:
+        member = zlib.decompressobj(31)
+        raw = member.decompress(data)
+        data = member.unused_data
+        version, _, rest = raw.partition(b"\r\n")
+        assert version == b"WARC/1.1"
+        head = BytesHeaderParser().parsebytes(rest)
+        block = rest.partition(b"\r\n\r\n")[2]
+        n = int(head["Content-Length"])
+        assert block[n:] == b"\r\n\r\n"
+        yield head, block[:n]
+
+
+class Socket(io.BytesIO):
+    def makefile(self, *_):
+        return self
+
+
+def test_another_reader_understands_the_archives(spark, tmp_path):
+    df, rows = pages(spark)
+    warc.write_archives(df, f"file://{tmp_path}/w", file_bytes=3000, send=0)
+    names, seen = set(), []
+    for p in Path(tmp_path, "w").iterdir():
+        (info, fields), *rest = records(p.read_bytes())
+        assert info["WARC-Type"] == "warcinfo" and info["WARC-Filename"] == p.name and b"software: " in fields
+        for head, block in [(info, fields), *rest]:
+            assert head["WARC-Date"] and head["WARC-Record-ID"].startswith("<urn:uuid:") and head["WARC-Record-ID"] not in names
+            names.add(head["WARC-Record-ID"])
+        for head, block in rest:
+            assert head["Content-Type"] == "application/http;msgtype=response" and "\n" not in head["WARC-Target-URI"]
+            http = HTTPResponse(Socket(block))
+            http.begin()
+            page, digest = head.get("Quillstone-Page-ID"), head["WARC-Payload-Digest"].removeprefix("sha256:")
+            size = int(http.getheader("Content-Length"))
+            if head["WARC-Type"] == "response":
+                assert hashlib.sha256(http.read()).hexdigest() == digest
+            else:
+                assert head["WARC-Profile"].endswith("identical-payload-digest") and head["WARC-Refers-To-Target-URI"] and head["WARC-Refers-To-Date"]
+            seen.append((str(page), size, digest, head["WARC-Type"], str(head.get("Quillstone-Refers-To-Page"))))
+    assert sorted(seen) == expected(rows)
 
 
 def test_selected_records(spark, tmp_path):
