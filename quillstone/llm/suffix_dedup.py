@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytekit import mix, slices, text_bytes
-from .storage import bounded_batches, discard, saved
+from .storage import discard, saved
 
 _TABLE = np.random.default_rng(400).integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
 _R = 0x9E3779B97F4A7C15
@@ -292,7 +292,7 @@ def collapsed(hot: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """
     c = F.col
     g1, g2 = _two_hashes(F.concat_ws("", F.hex("left"), F.lit("|"), F.hex("right")))
-    named = saved(hot.withColumns({"g1": g1, "g2": g2}), "repeats-crowded")
+    named = saved(hot.withColumns({"g1": g1, "g2": g2}), "repeats-crowded", 1000)
     by = ["key", "g1", "g2"]
     classes = named.groupBy(*by).agg(F.count("*").alias("n"), F.min("old").alias("old"), F.min(F.struct("d", "x", "pos", "left", "right")).alias("r"))
     classes = saved(classes.select(*by, "n", "old", "r.*"), "repeats-classes")
@@ -339,7 +339,7 @@ def refined(hot: DataFrame, length: int, k: int, max_run: int) -> tuple[DataFram
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "text")):
         kept, spans, sizes = [], [], []
         for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             data = text.encode()
@@ -359,6 +359,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("until", pa.int64())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
+def _run(anchors_: DataFrame) -> DataFrame:
+    """Anchors in files sorted by key; a key of any number of anchors is spread over many of them."""
+    return anchors_.repartition("key", F.pmod(F.xxhash64("x"), F.lit(256))).sortWithinPartitions("key")
+
+
 @dataclass
 class Index:
     """What was added so far: levels (rank, table of anchors sorted by key), the batches' texts and the spans found.
@@ -381,7 +386,7 @@ class Index:
         length, k = self.length, self.k
         whole = keyed(docs).where(F.octet_length("text") >= length).select("d", "x", "text")
         found = whole.mapInArrow(partial(_find, length=length, k=k), f"{_ID}, pos long, key long")
-        fresh = saved(found.repartition("key").sortWithinPartitions("key"), "repeats-level", 1000)
+        fresh = saved(_run(found), "repeats-level", 1000)
         counted, many = fresh.groupBy("key").agg(F.count("*").alias("new")), c("new")
         for i, (_, level) in enumerate(self.levels):  # merge-scans: both sides are sorted by key
             counted = counted.join(level.groupBy("key").agg(F.count("*").alias(f"old{i}")), "key", "left")
@@ -420,7 +425,7 @@ class Index:
         level, rank = fresh, 0
         while self.levels and self.levels[-1][0] == rank:
             other = self.levels.pop()[1]
-            merged = saved(level.unionByName(other).repartition("key").sortWithinPartitions("key"), "repeats-level")
+            merged = saved(_run(level.unionByName(other)), "repeats-level")
             discard(level, other)
             level, rank = merged, rank + 1
         self.levels.append((rank, level))
@@ -445,7 +450,6 @@ def cut(docs: DataFrame, spans: list[DataFrame]) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, *, batches: int = 2, **options) -> DataFrame:
     """cut() of all documents, added to an index in batches dealt out by the hash of the text."""
-    bounded_batches(docs.sparkSession)
     index = Index(**options)
     for b in range(batches):
         index.add(docs.where(F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(batches)) == b))
