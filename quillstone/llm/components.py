@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import saved
+from .storage import discard, saved
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -37,7 +37,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     now = saved(links.where(c("u") != c("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     seen = _print(now)
     while seen[0]:
-        now = saved(_star(_star(now, True), False), name)
+        before, now = now, saved(_star(_star(now, True), False), name)
+        discard(before)
         after = _print(now)
         if after == seen:
             break

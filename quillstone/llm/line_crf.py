@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekit import SEP, lines, mix, per_span, seen_before, slices, span_hash, text_bytes, words
-from .storage import bounded_batches
 
 OWN = 12
 #: Statistics that the line before and the line after also lend.
@@ -149,7 +148,6 @@ def fit_documents(docs: DataFrame, labels: DataFrame, *, folds: int = 3, max_tra
     Documents whose crc32(doc_id as text) leaves remainder 1 are held out.
     """
     c = F.col
-    bounded_batches(docs.sparkSession)
     known = labels.where(c("quality").isNotNull() & c("doc_id").isNotNull() & ~_held_out(folds)).groupBy(c("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("long").alias("good"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
 

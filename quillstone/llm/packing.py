@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches, saved
+from .storage import saved
 
 BITS, DIMS, BUCKETS = 20, 3, 256
 #: Words of these characters alone are taken apart here; all others go to the tokenizer as they are.
@@ -136,7 +136,6 @@ def curve_keys(ids: list[np.ndarray], seed: int = 11) -> np.ndarray:
 def pack(docs: DataFrame, tokenizer_path: str, *, length: int = 4096, end_id: int = 2, part_bytes: int = 32 << 20) -> DataFrame:
     """Pieces: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     c = F.col
-    bounded_batches(docs.sparkSession, 500)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, end = tokenizer(tokenizer_path), np.array([end_id], "<u2").tobytes()
@@ -157,7 +156,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, length: int = 4096, end_id: in
             at = int(ends[-1]) if len(ends) else at
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
             out: list[tuple] = []
             for doc, data, at in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "ids", "at")), strict=True):
                 ids = np.frombuffer(data, "<u2").astype("<u4")
@@ -172,7 +171,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, length: int = 4096, end_id: in
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     shape = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     coded = docs.select(c("doc_id").cast("long"), c("text").cast("string")).mapInArrow(encode, "doc_id long, key long, doc_tokens long, ids binary")
-    coded = saved(coded.withColumn("row", F.monotonically_increasing_id()), "packing-ids")
+    coded = saved(coded.withColumn("row", F.monotonically_increasing_id()), "packing-ids", 500)
     rows = coded.count()
     parts = max(1, -(-rows * 40 // part_bytes))
     ordered = coded.select("key", "doc_id", "row", "doc_tokens").repartitionByRange(parts, "key", "doc_id", "row").sortWithinPartitions("key", "doc_id", "row")

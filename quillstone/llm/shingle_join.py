@@ -27,7 +27,7 @@ from xxhash import xxh3_64_intdigest
 from .bytekit import LOWER, slices, span_hash, text_bytes
 from .components import components
 from .simhash import single_spaced
-from .storage import bounded_batches, saved
+from .storage import discard, saved, unused
 
 
 #: Hash buckets of the rarity table: one byte each.
@@ -166,7 +166,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, t
                 ok[k] = shared >= threshold * (len(x) + len(y) - shared) - 1e-9
             yield batch.select(["u", "v"]).filter(pa.array(ok))
 
-    hashed = saved(held.mapInArrow(sets, "id long, h binary"), "shingles-sets")
+    hashed = saved(held.mapInArrow(sets, "id long, h binary"), "shingles-sets", 1000)
     both = pairs.join(hashed.select(F.col("id").alias("u"), F.col("h").alias("a")), "u").join(hashed.select(F.col("id").alias("v"), F.col("h").alias("b")), "v")
     return both.select("u", "v", "a", "b").mapInArrow(similar, "u long, v long")
 
@@ -180,11 +180,10 @@ def _may_match(threshold: float) -> Column:
 def one_of_each_similar(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, hot: int = 256) -> DataFrame:
     """The rows of docs, one of each component of similar texts: the smallest doc_id (null last), then the smallest hash of the text."""
     c = F.col
-    bounded_batches(docs.sparkSession)
     text = c("text").cast("string")
     d, x = F.coalesce(c("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(text)
     keyed = docs.select(d.alias("d"), x.alias("x"), text.alias("text"))
-    sets = saved(_identified(keyed, width, threshold), "shingles")
+    sets = saved(_identified(keyed, width, threshold), "shingles", 1000)
     nodes = sets.groupBy("id").agg(F.min(F.struct("d", "x")).alias("first"))
     rows = sets.dropDuplicates(["id"]).select("id", "s", F.posexplode("prefix").alias("pos", "token"))
     met = saved(_met(rows, threshold, hot), "shingles-met")
@@ -202,6 +201,8 @@ def one_of_each_similar(docs: DataFrame, *, width: int = 5, threshold: float = 0
         links = links.union(saved(_verified(saved(more, "shingles-rest"), nodes, keyed, width, threshold), "shingles-links"))
         parts = components(links, "shingles-parts")
     named = nodes.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    first = named.groupBy("root").agg(F.min("first").alias("f")).select(c("f.d").alias("_shingle_d"), c("f.x").alias("_shingle_x"))
-    kept = docs.withColumns({"_shingle_d": d, "_shingle_x": x}).join(saved(first, "shingles-first"), ["_shingle_d", "_shingle_x"], "left_semi")
-    return kept.dropDuplicates(["_shingle_d", "_shingle_x"]).select(*docs.columns)
+    first = saved(named.groupBy("root").agg(F.min("first").alias("f")).select("f.d", "f.x"), "shingles-first")
+    discard(sets, met, pairs)
+    kd, kx = unused(docs.columns, "d", "x")
+    kept = docs.withColumns({kd: d, kx: x}).join(first.toDF(kd, kx), [kd, kx], "left_semi")
+    return kept.dropDuplicates([kd, kx]).select(*docs.columns)

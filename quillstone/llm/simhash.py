@@ -26,7 +26,7 @@ from xxhash import xxh64_intdigest
 
 from .bytekit import LOWER, SEP, slices, text_bytes, words
 from .components import components
-from .storage import bounded_batches, saved
+from .storage import discard, saved, unused
 
 
 def single_spaced(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +66,6 @@ def fingerprint_batch(batch: pa.RecordBatch, width: int, seed: int) -> np.ndarra
 
 def fingerprints(docs: DataFrame, *, width: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, text_hash and fp (the fingerprint as a signed long) of every row."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -212,11 +211,12 @@ def _by_node(v: np.ndarray, order: np.ndarray, lo: np.ndarray, hi: np.ndarray, s
 
 def grouped(docs: DataFrame, *, width: int = 3, bits: int = 2, seed: int = 42, max_node: int = 200_000) -> DataFrame:
     """doc_id, text_hash, fp, root (the component's smallest fingerprint) and component_id of every row."""
-    prints = saved(fingerprints(docs, width=width, seed=seed), "simhash")
+    prints = saved(fingerprints(docs, width=width, seed=seed), "simhash", 1000)
     classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     parts = components(links(classes.select("fp"), bits=bits, max_node=max_node), "simhash-links")
     rooted = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = saved(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id"), "simhash-components")
+    discard(classes)
     return prints.join(named, "fp")
 
 
@@ -229,7 +229,8 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, one of each component: the smallest doc_id (null last), then the smallest hash of the text."""
     c = F.col
     order = lambda text_hash: F.struct(F.coalesce(c("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), text_hash.alias("x"))
-    first = grouped(docs, **options).groupBy("root").agg(F.min(order(c("text_hash"))).alias("_first")).select("_first.d", "_first.x")
-    keyed = docs.withColumn("_order", order(F.xxhash64(c("text").cast("string"))))
-    kept = keyed.withColumns({"_simhash_d": c("_order.d"), "_simhash_x": c("_order.x")}).join(first.select(c("d").alias("_simhash_d"), c("x").alias("_simhash_x")), ["_simhash_d", "_simhash_x"], "left_semi")
-    return kept.dropDuplicates(["_simhash_d", "_simhash_x"]).select(*docs.columns)
+    first = grouped(docs, **options).groupBy("root").agg(F.min(order(c("text_hash"))).alias("f")).select("f.d", "f.x")
+    kd, kx = unused(docs.columns, "d", "x")
+    own = order(F.xxhash64(c("text").cast("string")))
+    kept = docs.withColumns({kd: own["d"], kx: own["x"]}).join(first.toDF(kd, kx), [kd, kx], "left_semi")
+    return kept.dropDuplicates([kd, kx]).select(*docs.columns)

@@ -87,12 +87,6 @@ def discard(*tables: DataFrame) -> None:
             del table._saved_at
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows, if the session still has the default of 10,000."""
-    if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, str(rows))
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
