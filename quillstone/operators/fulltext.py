@@ -47,13 +47,21 @@ def document_norms(postings: DataFrame, terms: DataFrame, key: str) -> DataFrame
 
 
 def build(df: DataFrame, key: str, text: Column, language: str = "spanish", path: str | None = None) -> TextIndex:
-    """Build the index of a text expression; with a path, its tables are written there."""
-    spark = df.sparkSession
-    postings = term_counts(df, key, text, language)
+    """Build the index of a text expression; with a path, its tables are written there, each read from the one before."""
+    return _indexed(term_counts(df, key, text, language), df.count(), key, language, path)
+
+
+def extended(old: TextIndex, fresh: DataFrame, text: Column, total: int, path: str) -> TextIndex:
+    """The index with further rows: only these are analysed; weights and norms follow from all postings."""
+    return _indexed(old.postings.unionByName(term_counts(fresh, old.key, text, old.language)), total, old.key, old.language, path)
+
+
+def _indexed(postings: DataFrame, total: int, key: str, language: str, path: str | None) -> TextIndex:
+    spark = postings.sparkSession
     if path:
         postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         postings = spark.read.parquet(f"{path}/postings")
-    terms = inverse_frequencies(postings, df.count())
+    terms = inverse_frequencies(postings, total)
     if path:
         terms.write.mode("overwrite").parquet(f"{path}/terms")
         terms = spark.read.parquet(f"{path}/terms")

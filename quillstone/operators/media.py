@@ -13,7 +13,7 @@ import wave
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +26,12 @@ def media_type(path: Column) -> Column:
     return F.when(end.isin(*IMAGES), "image").when(end.isin(*SOUNDS), "audio")
 
 
+def type_of(name: str) -> str | None:
+    """The same of one name."""
+    end = name.rsplit(".", 1)[-1].lower() if "." in name.rsplit("/", 1)[-1] else ""
+    return "image" if end in IMAGES else "audio" if end in SOUNDS else None
+
+
 def file_name(pattern: str, key: str, columns: list[str]) -> Column:
     """The file of a row: {id} is the key, {column} any column."""
     out = F.replace(F.lit(pattern), F.lit("{id}"), F.col(key).cast("string"))
@@ -34,14 +40,30 @@ def file_name(pattern: str, key: str, columns: list[str]) -> Column:
     return out
 
 
-def spectral(data: bytes) -> np.ndarray:
-    """Centroid, roll-off and zero crossings of the windows of a PCM WAV file; none if it can't be read."""
+def kind_of(feature: str) -> str:
+    """The media that a feature describes."""
+    return "image" if feature in ("SIFT", "ORB", "HOG") else "audio"
+
+
+def samples(data: bytes, rate: int | None = None, seconds: float = 30.0) -> tuple[np.ndarray, int]:
+    """Mono samples in [-1, 1] of a PCM WAV file, interpolated to a rate; none if it can't be read."""
     try:
         with wave.open(io.BytesIO(data)) as f:
-            rate, raw = f.getframerate(), np.frombuffer(f.readframes(f.getnframes()), {1: np.uint8, 2: np.int16, 4: np.int32}[f.getsampwidth()]).astype(float)
-            raw = raw.reshape(-1, f.getnchannels()).mean(axis=1)
+            own, width = f.getframerate(), f.getsampwidth()
+            raw = np.frombuffer(f.readframes(int(min(f.getnframes(), seconds * own))), {1: np.uint8, 2: np.int16, 4: np.int32}[width]).astype(float)
+            raw = (raw - 128 * (width == 1)) / float(1 << (8 * width - 1))
+            x = raw.reshape(-1, f.getnchannels()).mean(axis=1)
     except Exception:
-        return np.zeros((0, 3))
+        return np.zeros(0), rate or 1
+    if rate is None or rate == own or not len(x):
+        return x, own
+    at = np.arange(int(len(x) * rate / own)) * own / rate
+    return np.interp(at, np.arange(len(x)), x), rate
+
+
+def spectral(data: bytes) -> np.ndarray:
+    """Centroid, roll-off and zero crossings of the windows of a PCM WAV file; none if it can't be read."""
+    raw, rate = samples(data)
     n = len(raw) // 512
     if not n:
         return np.zeros((0, 3))
@@ -54,22 +76,117 @@ def spectral(data: bytes) -> np.ndarray:
     return np.stack([(power * freq).sum(axis=1) / total, roll, cross], axis=1)
 
 
-#: feature name -> function from file bytes to descriptor rows; further ones can be registered.
-EXTRACTORS: dict[str, Callable[[bytes], np.ndarray]] = {"SPECTRAL": spectral}
+#: Of MFCC and chroma: samples a second, window, step.
+RATE, WINDOW, HOP = 22050, 2048, 512
+
+
+def power_frames(x: np.ndarray) -> np.ndarray:
+    """Power spectra (frames, bins) of Hann windows around every step."""
+    if not len(x):
+        return np.zeros((0, WINDOW // 2 + 1))
+    padded = np.pad(x, WINDOW // 2)
+    frames = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::HOP]
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(WINDOW) / WINDOW)
+    return np.abs(np.fft.rfft(frames * hann, axis=1)) ** 2
+
+
+def mel(hz: np.ndarray) -> np.ndarray:
+    """Linear below 1000 Hz, logarithmic above."""
+    hz = np.asarray(hz, float)
+    return np.where(hz < 1000, 3 * hz / 200, 15 + 27 * np.log(np.maximum(hz, 1000) / 1000) / np.log(6.4))
+
+
+def mel_filters(bands: int) -> np.ndarray:
+    """Triangles of equal area (bands, bins), evenly spaced in mel up to half the rate."""
+    bins = np.fft.rfftfreq(WINDOW, 1 / RATE)
+    grid = np.linspace(0, RATE / 2, 200_001)
+    edges = np.interp(np.linspace(0, mel(RATE / 2), bands + 2), mel(grid), grid)
+    low, mid, high = edges[:-2, None], edges[1:-1, None], edges[2:, None]
+    return np.maximum(0, np.minimum((bins - low) / (mid - low), (high - bins) / (high - mid))) * 2 / (high - low)
+
+
+def mfcc(data: bytes, count: int = 13, bands: int = 128) -> np.ndarray:
+    """Cepstral coefficients of every frame: cosine transform of the mel spectrum in decibels, 80 at most below its peak."""
+    power = power_frames(samples(data, RATE)[0]) @ mel_filters(bands).T
+    if not len(power):
+        return np.zeros((0, count))
+    level = 10 * np.log10(np.maximum(power, 1e-10))
+    level = np.maximum(level, level.max() - 80)
+    k, b = np.arange(count)[:, None], np.arange(bands)[None]
+    basis = np.cos(np.pi * k * (2 * b + 1) / (2 * bands)) * np.where(k == 0, np.sqrt(1 / bands), np.sqrt(2 / bands))
+    return level @ basis.T
+
+
+def chroma(data: bytes) -> np.ndarray:
+    """The power of every frame by pitch class (12, from C), the strongest class at one; frames of silence are zeros."""
+    power = power_frames(samples(data, RATE)[0])
+    hz = np.fft.rfftfreq(WINDOW, 1 / RATE)[1:]
+    pitch = 12 * np.log2(hz / 440) + 9
+    # each bin counts for the classes around its pitch, and low and very high octaves count less
+    apart = (pitch[:, None] - np.arange(12) + 6) % 12 - 6
+    weight = np.exp(-2 * apart**2)
+    weight *= (np.exp(-0.5 * ((np.log2(hz / 27.5) - 5) / 2) ** 2) / np.sqrt((weight**2).sum(axis=1)))[:, None]
+    out = power[:, 1:] @ weight
+    top = out.max(axis=1, keepdims=True)
+    return np.divide(out, top, out=np.zeros_like(out), where=top > 1e-12)
+
+
+def gray(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
+    """Brightness (0 to 255) of an image as Spark's image source gives it: rows of blue, green, red."""
+    x = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(float)
+    return x[:, :, 0] if channels == 1 else x[:, :, :3] @ np.array([0.114, 0.587, 0.299])
+
+
+def resized(x: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Bilinear, pixel centres aligned."""
+    def line(n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
+        a = np.floor(at).astype(int)
+        return a, np.minimum(a + 1, n - 1), at - a
+
+    a, b, f = line(x.shape[0], height)
+    c, d, g = line(x.shape[1], width)
+    rows = x[a] * (1 - f)[:, None] + x[b] * f[:, None]
+    return rows[:, c] * (1 - g) + rows[:, d] * g
+
+
+def hog(x: np.ndarray, size: int = 128, cell: int = 8, bins: int = 9) -> np.ndarray:
+    """One row: oriented gradients of all windows of 64 x 128 pixels, blocks of 2 x 2 cells, clipped unit length."""
+    x = resized(x, size, size)
+    gy, gx = np.zeros_like(x), np.zeros_like(x)
+    gx[:, 1:-1], gy[1:-1] = x[:, 2:] - x[:, :-2], x[2:] - x[:-2]
+    length, angle = np.hypot(gx, gy), np.mod(np.arctan2(gy, gx), np.pi) / np.pi * bins - 0.5
+    low = np.floor(angle).astype(int)
+    part, n = angle - low, size // cell
+    of = (np.arange(size) // cell)[:, None] * n + (np.arange(size) // cell)[None]
+    hist = sum(np.bincount((of * bins + (low + k) % bins).ravel(), (length * w).ravel(), n * n * bins) for k, w in ((0, 1 - part), (1, part))).reshape(n, n, bins)
+    block = np.concatenate([hist[:-1, :-1], hist[:-1, 1:], hist[1:, :-1], hist[1:, 1:]], axis=2)
+    unit = lambda v: v / np.sqrt((v**2).sum(axis=2, keepdims=True) + 1e-6)
+    block = unit(np.minimum(unit(block), 0.2))
+    wide = 64 // cell - 1
+    return np.concatenate([block[:, i : i + wide].ravel() for i in range(block.shape[1] - wide + 1)])[None]
+
+
+#: feature name -> function from file bytes (of images: brightness) to descriptor rows; further ones can be registered.
+EXTRACTORS: dict[str, Callable] = {"SPECTRAL": spectral, "MFCC": mfcc, "CHROMA": chroma, "HOG": hog}
 
 
 def extract(files: DataFrame, feature: str) -> DataFrame:
-    """(key, vector) descriptors of files (key, content)."""
+    """(key, vector) descriptors of files (key, content) or, for image features, (key, image); unreadable files have none."""
     if feature not in EXTRACTORS:
         raise NotImplementedError(f"no extractor for {feature} is installed; register one in EXTRACTORS or supply descriptors")
-    run = EXTRACTORS[feature]
+    run, images = EXTRACTORS[feature], "image" in files.columns
+    held = files.select("key", *(f"image.{k}" for k in ("height", "width", "nChannels", "data"))) if images else files.select("key", "content")
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(k, v.tolist()) for k, content in zip(b["key"], b["content"], strict=True) for v in run(content)]
-            yield pd.DataFrame(out, columns=["key", "vector"])
+            for i in range(b.num_rows):
+                key, *args = (c[i].as_py() for c in b.columns)
+                v = run(gray(*args)) if images else run(args[0])
+                if len(v):
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(v), b.column(0).type), pa.array(v.astype(float).tolist(), pa.list_(pa.float64()))], names=["key", "vector"])
 
-    return files.select("key", "content").mapInPandas(rows, f"key {files.schema['key'].dataType.simpleString()}, vector array<double>")
+    return held.mapInArrow(rows, f"key {files.schema['key'].dataType.simpleString()}, vector array<double>")
 
 
 def codebook(descriptors: DataFrame, k: int = 300, seed: int = 42, per_key: int = 1000, total: int = 200_000) -> list[list[float]]:
@@ -91,9 +208,28 @@ def nearest_word(vector: str, words: list[list[float]]) -> Column:
     return (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")
 
 
+#: Codebooks of up to so many numbers become expressions; larger ones are multiplied in Arrow batches.
+INLINE = 512
+
+
+def quantised(descriptors: DataFrame, words: list[list[float]]) -> DataFrame:
+    """(key, word): the nearest centre of every descriptor, ties to the smaller one."""
+    if len(words) * len(words[0]) <= INLINE:
+        return descriptors.select("key", nearest_word("vector", words).alias("word"))
+    centres = np.array(words)
+    size = (centres**2).sum(axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, centres.shape[1])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((size - 2 * x @ centres.T).argmin(axis=1).astype(np.int32))], names=["key", "word"])
+
+    return descriptors.select("key", "vector").mapInArrow(run, f"key {descriptors.schema['key'].dataType.simpleString()}, word int")
+
+
 def histograms(descriptors: DataFrame, words: list[list[float]]) -> DataFrame:
     """(key, word, share): each row's descriptors by nearest centre, summing to one."""
-    found = descriptors.select("key", nearest_word("vector", words).alias("word")).groupBy("key", "word").agg(F.count("*").alias("n"))
+    found = quantised(descriptors, words).groupBy("key", "word").agg(F.count("*").alias("n"))
     return found.join(found.groupBy("key").agg(F.sum("n").alias("total")), "key").select("key", "word", (F.col("n") / F.col("total")).alias("share"))
 
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.geometry import cosine, dot, norm
 from .functions.text import plain_tokens
 from .operators import fulltext, media
 from .session import Engine
 from .sources import files
+from .sources.scratch import new_folder
 
 KEYS = {
     "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey",
@@ -66,6 +66,14 @@ def _point_sql(dims: int, point: tuple[float, ...], where: str = "", tail: str =
     return f"SELECT vec_id, label FROM (SELECT *, sqrt({terms}) AS dist FROM embeddings) {where} {tail}"
 
 
+def vector_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dot product and cosine of every vector with the first one, and its length."""
+    e = _read(spark, sf_dir, "embeddings")
+    one = F.broadcast(e.where("vec_id = 0").select(F.col("embedding").alias("q")))  # one row
+    both = e.join(one, F.lit(True))
+    return both.select("vec_id", F.round(dot(F.col("embedding"), F.col("q")), 6).alias("dot"), F.round(norm(F.col("embedding")), 6).alias("norm"), F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
+
+
 # -- text
 
 
@@ -91,7 +99,7 @@ def text_df_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = fulltext.build(_documents(spark, sf_dir), "doc_id", F.col("text"), "simple")
+    index = fulltext.build(_documents(spark, sf_dir), "doc_id", F.col("text"), "simple", new_folder(spark, "text"))
     return index.norms.select("doc_id", F.round("norm", 6).alias("norm"))
 
 
@@ -186,8 +194,7 @@ q AS (SELECT word, share * idf AS qw FROM hist JOIN idf USING (word) WHERE key =
 
 
 def _database(spark: SparkSession) -> Engine:
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/quillstone").rstrip("/")
-    return Engine(spark, f"{base}/tables-{uuid.uuid4().hex}")
+    return Engine(spark, new_folder(spark, "tables"))
 
 
 def _done(result) -> None:
@@ -243,9 +250,8 @@ def delete_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _csv(spark: SparkSession, rows: DataFrame, sep: str) -> str:
     """A CSV file of the rows, in key order."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/quillstone").rstrip("/")
     lines = [sep.join(rows.columns), *(sep.join("" if v is None else str(v) for v in r) for r in rows.collect())]  # a table of at most some hundred rows
-    path = f"{base}/load-{uuid.uuid4().hex}/rows.csv"
+    path = f"{new_folder(spark, 'load')}/rows.csv"
     files.replace_text(spark, path, "\n".join(lines) + "\n")
     return path
 
@@ -299,6 +305,7 @@ QUERIES = {
     "spatial_knn_2d": _point_query("SELECT * FROM points WHERE place NEAREST ((0.05, 0.1), 12)", 2),
     "spatial_knn_3d": _point_query("SELECT * FROM points WHERE place NEAREST ((0.0, 0.1, -0.1), 9)", 3),
     "spatial_point_eq": lambda spark, sf_dir: (lambda e: (e.register("points", _read(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 2), lambda v: F.round(v * 4) / 4).cast("array<float>").alias("place")), "vec_id"), e.sql("SELECT vec_id FROM points WHERE place = (0.25, 0.0)").data)[1])(Engine(spark)),
+    "vector_cosine": vector_cosine,
     "text_tokens": text_tokens, "text_tf": text_tf, "text_df_idf": text_df_idf, "text_norms": text_norms,
     "fulltext_all": _search(None), "fulltext_topk": _search(10), "fulltext_virtual": _search(15, virtual=True),
     "fulltext_stemmed_es": _search(10, "spanish", "es", "que mente ciones los con"),
@@ -333,6 +340,9 @@ SELECT count(DISTINCT id) AS inserted, count(*) - count(DISTINCT id) AS duplicat
     "spatial_knn_2d": _point_sql(2, (0.05, 0.1), "", "ORDER BY dist, vec_id LIMIT 12"),
     "spatial_knn_3d": _point_sql(3, (0.0, 0.1, -0.1), "", "ORDER BY dist, vec_id LIMIT 9"),
     "spatial_point_eq": "SELECT vec_id FROM embeddings WHERE round(embedding[1] * 4) / 4 = 0.25 AND round(embedding[2] * 4) / 4 = 0",
+    "vector_cosine": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT e AS q FROM v WHERE vec_id = 0),
+s AS (SELECT vec_id, list_inner_product(e, q) AS d, sqrt(list_inner_product(e, e)) AS n, sqrt(list_inner_product(q, q)) AS m FROM v, q)
+SELECT vec_id, round(d, 6) AS dot, round(n, 6) AS norm, CASE WHEN n * m > 0 THEN round(d / (n * m), 6) ELSE 0 END AS cosine FROM s""",
     "text_tokens": f"WITH {_tokens_sql()} SELECT docs.doc_id, coalesce(sum(tf), 0)::BIGINT AS n_tokens FROM docs LEFT JOIN tf USING (doc_id) GROUP BY docs.doc_id",
     "text_tf": f"WITH {_tokens_sql()} SELECT doc_id, term, tf FROM tf",
     "text_df_idf": f"WITH {_tokens_sql()} SELECT term, df, round(idf, 6) AS idf FROM df",

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,25 +15,104 @@ from .operators import fulltext, media, spatial
 from .plans import nodes as n
 from .plans.parser import parse
 from .sources import csv, files
-from .sources.tables import Catalog, Table, default, fitted, spark_type
+from .sources.scratch import new_folder
+from .sources.tables import LAYOUTS, Catalog, Table, default, fitted, pruned, spark_type
 
 
 @dataclass
 class Result:
-    """What a statement gave: rows (lazy) or a message, and the milliseconds it took to plan and write."""
+    """What a statement gave: rows (lazy) or a message, and what it took so far.
+
+    ms: to plan and write. reads, writes: files that the rows come from, and files written. rebuilt:
+    an index was made or made anew. breakdown: the same by index ("primary" or a column).
+    """
 
     data: DataFrame | None = None
     message: str | None = None
     ms: float = 0.0
     details: dict = field(default_factory=dict)
+    writes: int = 0
+    rebuilt: bool = False
+    breakdown: dict = field(default_factory=dict)
+
+    @property
+    def reads(self) -> int:
+        return len(self.data.inputFiles()) if self.data is not None else 0
 
     def rows(self) -> list:
-        return self.data.collect() if self.data is not None else []
+        """All rows; the time to compute them is added to ms, and breakdown gets what the plan's scans read."""
+        if self.data is None:
+            return []
+        begun = time.perf_counter()
+        out = self.data.collect()
+        self.ms += (time.perf_counter() - begun) * 1000
+        self.breakdown = {**self.breakdown, "rows": len(out), **plan_metrics(self.data)}
+        return out
+
+    def metrics(self) -> dict:
+        """The envelope as plain values."""
+        return {"ms": self.ms, "reads": self.reads, "writes": self.writes, "total": self.reads + self.writes, "rebuilt": self.rebuilt, "breakdown": self.breakdown}
 
     def summary(self) -> str:
         return f"{self.message or 'rows'} ({self.ms:.4f} ms)"
 
 
+def plan_metrics(df: DataFrame) -> dict:
+    """Files, rows and bytes that the scans of a frame's executed plan have read."""
+    found = {"files": 0, "scanned_rows": 0, "bytes": 0}
+    todo = [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        if name == "FileSourceScanExec":
+            for key, metric in (("files", "numFiles"), ("scanned_rows", "numOutputRows"), ("bytes", "filesSize")):
+                held = node.metrics().get(metric)
+                found[key] += held.get().value() if held.isDefined() else 0
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+@dataclass
+class Operation:
+    """One operation and those inside it."""
+
+    name: str
+    ms: float = 0.0
+    inner: list[Operation] = field(default_factory=list)
+
+    def lines(self, depth: int = 0) -> list[str]:
+        return [f"{'  ' * depth}{self.name}: {self.ms:.4f} ms", *(x for o in self.inner for x in o.lines(depth + 1))]
+
+
+class Tracker:
+    """Nested operations: each with block is one, and what runs inside belongs to it."""
+
+    def __init__(self) -> None:
+        self.open: list[Operation] = []
+        self.last: Operation | None = None
+
+    @contextmanager
+    def track(self, name: str) -> Iterator[Operation]:
+        own, begun = Operation(name), time.perf_counter()
+        self.open.append(own)
+        try:
+            yield own
+        finally:
+            self.open.pop()
+            own.ms = (time.perf_counter() - begun) * 1000
+            if self.open:
+                self.open[-1].inner.append(own)
+            else:
+                self.last = own
+
+
 class Engine:
     """A database under a root folder, or views over frames that other code brings."""
 
@@ -41,6 +122,8 @@ class Engine:
         self.views: dict[str, tuple[DataFrame, str]] = {}
         self.text_indexes: dict[tuple[str, str], fulltext.TextIndex] = {}
         self.virtual: dict[str, dict[str, list[str]]] = {}
+        self.tracker = Tracker()
+        self.last: Result | None = None
 
     # -- scripts
 
@@ -61,8 +144,16 @@ class Engine:
         begun = time.perf_counter()
         run = {n.CreateTable: self._create, n.LoadData: self._load, n.Select: self._select, n.Insert: self._insert, n.Delete: self._delete, n.CreateIndex: self._create_index,
                n.DropTable: self._drop_table, n.DropIndex: self._drop_index, n.AddVirtual: self._add_virtual, n.DropVirtual: self._drop_virtual}[type(s)]
-        out = run(s)
-        return replace(out, ms=(time.perf_counter() - begun) * 1000)
+        name = type(s).__name__
+        with self.tracker.track(name):
+            out = run(s)
+        self.last = replace(out, ms=(time.perf_counter() - begun) * 1000)
+        return self.last
+
+    def last_metrics(self) -> dict:
+        """The envelope of the last statement, with its nested operations."""
+        own = self.last.metrics() if self.last else {}
+        return own | {"operations": self.tracker.last.lines() if self.tracker.last else []}
 
     # -- views over outside frames
 
@@ -120,6 +211,8 @@ class Engine:
                 raise ValueError(f"no feature {s.feature}")
             if "MULTIMEDIA" in table.indexes:
                 raise ValueError(f"{s.table} has a media index")
+            if media.type_of(s.pattern or "{id}.jpg") not in (None, media.kind_of(s.feature)):
+                raise ValueError(f"{s.feature} describes {media.kind_of(s.feature)} files")
             table.indexes["MULTIMEDIA"] = {"kind": s.kind, "feature": s.feature, "directory": s.directory, "pattern": s.pattern}
             try:
                 self._build_media(table)
@@ -145,14 +238,18 @@ class Engine:
                 if s.kind == "INVERTED_TEXT" and kind not in ("VARCHAR", "DATE"):
                     raise ValueError("INVERTED_TEXT needs a text column")
             if s.kind == "INVERTED_TEXT":
-                path = f"{self.catalog.root}/{s.table}.index.{s.column}"
-                df = self.catalog.read(table)
-                self.text_indexes[s.table, s.column] = fulltext.build(df, table.key, self._text(s.table, table, s.column), s.language, path)
-                table.indexes[s.column] = {"kind": s.kind, "language": s.language, "path": path}
+                table.indexes[s.column] = {"kind": s.kind, "language": s.language}
+                try:
+                    self._build_text(table, s.column)
+                except Exception:
+                    del table.indexes[s.column]
+                    raise
             else:
                 table.indexes[s.column] = {"kind": s.kind}
+                with self.tracker.track(f"layout {s.column}"):
+                    self.catalog.add_layout(table, s.column)
         self.catalog.save()
-        return Result(message=f"OK: {s.kind} index on {s.table}" + (f" ({s.column})" if s.column else ""))
+        return Result(message=f"OK: {s.kind} index on {s.table}" + (f" ({s.column})" if s.column else ""), writes=len(table.parts), rebuilt=True)
 
     def _drop_index(self, s: n.DropIndex) -> Result:
         table = self._table(s.table)
@@ -160,9 +257,8 @@ class Engine:
             raise ValueError("the primary index can't be dropped")
         if s.column not in table.indexes:
             raise KeyError(f"{s.table} has no index {s.column}")
-        gone = table.indexes.pop(s.column)
+        gone = self.catalog.drop_index(table, s.column)
         self.text_indexes.pop((s.table, s.column), None)
-        self.catalog.save()
         if gone.get("path"):
             files.remove(self.spark, gone["path"])
         return Result(message=f"OK: index {s.column} on {s.table} dropped")
@@ -270,11 +366,14 @@ class Engine:
 
     def text_index(self, name: str, column: str, language: str | None = None) -> fulltext.TextIndex:
         """The index of a table's column; for views it is made when first asked for."""
+        df, key, table = self.frame(name)
+        entry = table.indexes.get(column, {}) if table else {}
+        if entry.get("kind") == "INVERTED_TEXT" and entry.get("parts") != table.parts:
+            self._build_text(table, column)
         if (name, column) in self.text_indexes:
             return self.text_indexes[name, column]
-        df, key, table = self.frame(name)
         if table is None:
-            made = fulltext.build(df, key, self._text(name, None, column), language or "spanish")
+            made = fulltext.build(df, key, self._text(name, None, column), language or "spanish", new_folder(self.spark, "text"))
         else:
             entry = table.indexes.get(column, {})
             if entry.get("kind") != "INVERTED_TEXT":
@@ -283,6 +382,46 @@ class Engine:
         self.text_indexes[name, column] = made
         return made
 
+    def _build_text(self, table: Table, column: str) -> None:
+        """Write the index of the current parts beside what was there, then make it current.
+
+        Parts that were only added since are analysed alone and their postings joined to the old ones.
+        """
+        entry = table.indexes[column]
+        path = f"{self.catalog.root}/{table.name}.index.{column}.{len(table.parts)}-{time.time_ns()}"
+        had = entry.get("parts")
+        with self.tracker.track(f"text index {column}"):
+            added = [p for p in table.parts if p not in had] if had is not None and set(had) <= set(table.parts) else None
+            text = self._text(table.name, table, column)
+            if added is None:
+                made = fulltext.build(self.catalog.read(table), table.key, text, entry["language"], path)
+            else:
+                fresh = self.catalog.read(replace(table, parts=added))
+                old = fulltext.opened(self.spark, entry["path"], table.key, entry["language"])
+                made = fulltext.extended(old, fresh, text, self.catalog.read(table).count(), path)
+        old_path = entry.get("path")
+        entry |= {"path": path, "parts": list(table.parts)}
+        self.text_indexes[table.name, column] = made
+        self.catalog.save()
+        if old_path:
+            files.remove(self.spark, old_path)
+
+    def _layout(self, df: DataFrame, table: Table | None, p: n.Equals | n.Between | n.Within) -> DataFrame:
+        """The rows where the predicate can hold, read in the column's own layout if it has one."""
+        kind = table.indexes.get(p.column, {}).get("kind") if table else None
+        if kind not in LAYOUTS or (kind == "HASH" and not isinstance(p, n.Equals)):
+            return df
+        out, of = self.catalog.read_by(table, p.column), df.schema[p.column].dataType
+        if kind == "HASH" and not isinstance(p.value, tuple):
+            value = F.lit(p.value).cast(of)
+            return pruned(out, kind, p.column, 0, value, value)
+        if kind == "RTREE" and isinstance(p, (n.Equals, n.Within)) and isinstance(at := getattr(p, "point", getattr(p, "value", None)), tuple):
+            by = abs(float(p.radius)) if isinstance(p, n.Within) else 0.0
+            edge = lambda x, to: float(np.nextafter(np.float32(x), np.float32(to)))  # noqa: E731  outwards, so that rounding loses no row
+            low, high = [edge(float(x) - by, -np.inf) for x in at], [edge(float(x) + by, np.inf) for x in at]
+            return pruned(out, kind, p.column, table.column(p.column).type.size or 2, low, high)
+        return out
+
     def _select(self, s: n.Select) -> Result:
         df, key, table = self.frame(s.table)
         virtual = self._virtuals(s.table, table)
@@ -291,10 +430,10 @@ class Engine:
         if isinstance(p, (n.Equals, n.Between)):
             if p.column in virtual:
                 df = df.withColumn(p.column, self._concat(df, virtual[p.column]))
-            df = df.where(self._condition(df, p, table))
+            df = self._layout(df, table, p).where(self._condition(df, p, table))
             df = df.orderBy(p.column, key) if isinstance(p, n.Between) else df
         elif isinstance(p, n.Within):
-            df = spatial.within(df, p.column, p.point, p.radius)
+            df = spatial.within(self._layout(df, table, p), p.column, p.point, p.radius)
         elif isinstance(p, n.Nearest):
             df = spatial.nearest(df, p.column, p.point, p.k, key)
         elif isinstance(p, n.Matches):
@@ -311,22 +450,33 @@ class Engine:
 
     # -- media
 
+    def _media(self, place: str, feature: str) -> DataFrame:
+        """Files (name, then content, or the image that Spark decoded) of the feature's media."""
+        kind = media.kind_of(feature)
+        source = self.spark.read.format("image").option("dropInvalid", True) if kind == "image" else self.spark.read.format("binaryFile")
+        path, held = ("image.origin", "image") if kind == "image" else ("path", "content")
+        return source.load(place).where(media.media_type(F.col(path)) == kind).select(F.element_at(F.split(path, "/"), -1).alias("file"), held)
+
     def _media_files(self, table: Table, entry: dict) -> DataFrame:
         name = media.file_name(entry["pattern"] or "{id}.jpg", table.key, [c.name for c in table.columns])
         rows = self.catalog.read(table).select(F.col(table.key).alias("key"), name.alias("file"))
-        held = self.spark.read.format("binaryFile").load(entry["directory"]).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-        return rows.join(held, "file")
+        return rows.join(self._media(entry["directory"], entry["feature"]), "file")
 
     def _build_media(self, table: Table, words: int = 300) -> None:
         import json
 
         entry = table.indexes["MULTIMEDIA"]
         base = f"{self.catalog.root}/{table.name}.index.MULTIMEDIA"
-        media.extract(self._media_files(table, entry), entry["feature"]).write.mode("overwrite").parquet(f"{base}/descriptors")
+        with self.tracker.track("descriptors"):
+            media.extract(self._media_files(table, entry), entry["feature"]).write.mode("overwrite").parquet(f"{base}/descriptors")
         found = self.spark.read.parquet(f"{base}/descriptors")
-        book = media.codebook(found, words)
+        with self.tracker.track("codebook"):
+            book = media.codebook(found, words)
         files.replace_text(self.spark, f"{base}/codebook.json", json.dumps(book))
-        media.histograms(found, book).write.mode("overwrite").parquet(f"{base}/histograms")
+        with self.tracker.track("histograms"):
+            media.histograms(found, book).write.mode("overwrite").parquet(f"{base}/histograms")
+        hist = self.spark.read.parquet(f"{base}/histograms")
+        media.word_weights(hist, hist.select("key").distinct().count()).write.mode("overwrite").parquet(f"{base}/weights")
         entry["path"] = base
 
     def _similar(self, table: Table | None, df: DataFrame, key: str, path: str, k: int) -> DataFrame:
@@ -337,11 +487,11 @@ class Engine:
             raise ValueError("the table has no media index")
         base, stem = entry["path"], path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
         book, hist = json.loads(files.read_text(self.spark, f"{base}/codebook.json")), self.spark.read.parquet(f"{base}/histograms")
-        idf = media.word_weights(hist, hist.select("key").distinct().count())
+        idf = self.spark.read.parquet(f"{base}/weights")
         whole = path if "/" in path else f"{entry['directory'].rstrip('/')}/{path}"
         if not files.exists(self.spark, whole):
             return df.withColumn("_multimedia_score", F.lit(0.0)).limit(0)
-        content = self.spark.read.format("binaryFile").load(whole).select(F.lit(0).alias("key"), "content")
+        content = self._media(whole, entry["feature"]).withColumn("key", F.lit(0))
         query = media.histograms(media.extract(content, entry["feature"]), book)
         scorer = media.inverted_scores if entry["kind"] == "MULTIMEDIA_INV" else media.sequential_scores
         best = media.most_similar(scorer(hist, idf, query), k, stem)
@@ -364,6 +514,45 @@ class Engine:
     def match(self, name: str, column: str, query: str, limit: int | None = None) -> DataFrame:
         return self._select(n.Select(name, None, n.Matches(column, query), limit)).data
 
+    def create_table(self, name: str, columns: Iterable[n.Column]) -> Result:
+        return self.execute(n.CreateTable(name, tuple(columns)))
+
+    def create_index(self, name: str, column: str | None, kind: str, **options) -> Result:
+        return self.execute(n.CreateIndex(name, column, kind, **options))
+
+    def drop_index(self, name: str, column: str) -> Result:
+        return self.execute(n.DropIndex(column, name))
+
+    def drop_table(self, name: str) -> Result:
+        return self.execute(n.DropTable(name))
+
+    def delete(self, name: str, column: str, value: n.Literal) -> Result:
+        return self.execute(n.Delete(name, n.Equals(column, value)))
+
+    def range_delete(self, name: str, column: str, low: n.Literal, high: n.Literal) -> Result:
+        return self.execute(n.Delete(name, n.Between(column, low, high)))
+
+    def add_virtual_column(self, name: str, column: str, sources: Iterable[str]) -> Result:
+        return self.execute(n.AddVirtual(name, column, tuple(sources)))
+
+    def virtual_value(self, name: str, column: str, key: n.Literal) -> str | None:
+        """The value of a virtual column in the row of a key."""
+        df, own, table = self.frame(name)
+        sources = self._virtuals(name, table)[column]
+        row = df.where(self._condition(df, n.Equals(own, key), table)).select(self._concat(df, sources)).first()
+        return row[0] if row else None
+
+    def media_statistics(self, name: str) -> dict:
+        """Rows, descriptors, words and mean words a row of a table's media index."""
+        entry = self._table(name).indexes["MULTIMEDIA"]
+        hist = self.spark.read.parquet(f"{entry['path']}/histograms")
+        rows, pairs, words = hist.agg(F.count_distinct("key"), F.count("*"), F.count_distinct("word")).first()
+        return {"kind": entry["kind"], "feature": entry["feature"], "rows": rows, "descriptors": self.spark.read.parquet(f"{entry['path']}/descriptors").count(), "words": words, "words_per_row": pairs / rows if rows else 0.0}
+
+    def vacuum(self, name: str) -> int:
+        """Delete the folders that no current part needs; queries planned before may lose theirs."""
+        return self.catalog.vacuum(self._table(name))
+
     def scan(self, name: str) -> DataFrame:
         return self._select(n.Select(name, None)).data
 

@@ -2,7 +2,14 @@
 
 A table's rows are the rows of its parts. Inserting adds a part; deleting rewrites only the parts
 that hold a matching row; the catalog file, replaced in one rename, says which parts are current.
-Readers keep the parts they started with. One writer at a time is assumed.
+Readers keep the parts they started with; vacuum() removes those that are no longer current. One writer
+at a time is assumed.
+
+Parts are sorted by key. A secondary index is a second layout of each part, made when the part is:
+BTREE rows are range-partitioned and sorted by the column, so row groups prune by its statistics; HASH rows
+lie in folders by a hash of the column, so equality reads one folder; RTREE rows are sorted along
+a Z-order curve with each coordinate as a column of its own, so boxes prune row groups.
+Layouts never change a result.
 """
 
 from __future__ import annotations
@@ -63,6 +70,44 @@ def fitted(value: Column, of: n.Type) -> Column:
     return F.trim(F.when(F.octet_length(value) > limit, cut).otherwise(value))
 
 
+#: Index kinds that are layouts of parts, and the columns they add.
+LAYOUTS = ("BTREE", "HASH", "RTREE")
+BUCKET, PLACE, BUCKETS = "_bucket", "_place", 16
+
+
+def _layout_path(part: str, column: str) -> str:
+    return f"{part}.by.{column}"
+
+
+def _bucket(value: Column) -> Column:
+    return F.pmod(F.hash(value), F.lit(BUCKETS)).cast("int")
+
+
+def _dims(table: Table, column: str) -> int:
+    return table.column(column).type.size or 2
+
+
+def z_order(column: str, dims: int) -> Column:
+    """Interleaved leading bits of the coordinates, as a bit string: near points mostly share a prefix."""
+    width = max(1, 60 // dims)
+    bits = []
+    for i in range(dims):
+        x = F.get(column, F.lit(i)).cast("double")
+        scaled = F.atan(x) / F.lit(3.141592653589793) + 0.5
+        bits.append(F.lpad(F.bin(F.least(F.lit((1 << width) - 1), F.floor(scaled * (1 << width)))), width, "0"))
+    return F.concat(*(F.substring(b, k + 1, 1) for k in range(width) for b in bits))
+
+
+def pruned(df: DataFrame, kind: str, column: str, dims: int, low, high) -> DataFrame:
+    """The rows of a layout that can lie between low and high (points: corner to corner), by the layout's own columns."""
+    if kind == "HASH" and low is high:
+        return df.where(F.col(BUCKET) == _bucket(low))
+    if kind == "RTREE" and len(low) == dims:
+        for i in range(dims):
+            df = df.where(F.col(f"{PLACE}{i}").between(F.lit(low[i]).cast("float"), F.lit(high[i]).cast("float")))
+    return df
+
+
 class Catalog:
     """All tables under one root folder."""
 
@@ -95,6 +140,52 @@ class Catalog:
         self.save()
         files.remove(self.spark, f"{self.root}/{name}")
 
+    def drop_index(self, table: Table, column: str) -> dict:
+        gone = table.indexes.pop(column)
+        self.save()
+        for part in table.parts:
+            files.remove(self.spark, _layout_path(part, column))
+        return gone
+
+    def add_layout(self, table: Table, column: str) -> None:
+        """Write the layout of every part that table has so far."""
+        for part in table.parts:
+            self._write_layout(table, part, column)
+
+    def _write_layout(self, table: Table, part: str, column: str) -> None:
+        rows, kind = self.spark.read.schema(table.schema).parquet(part), table.indexes[column]["kind"]
+        path = _layout_path(part, column)
+        if kind == "BTREE":
+            rows.repartitionByRange(column).sortWithinPartitions(column, table.key).write.parquet(path)
+        elif kind == "HASH":
+            hashed = rows.withColumn(BUCKET, _bucket(F.col(column)))
+            # the key spreads a frequent value over tasks; its folder then has several files
+            hashed.repartition(BUCKET, F.pmod(F.hash(table.key), F.lit(8))).sortWithinPartitions(BUCKET, column).write.partitionBy(BUCKET).parquet(path)
+        elif kind == "RTREE":
+            placed = rows.withColumns({f"{PLACE}{i}": F.get(column, F.lit(i)) for i in range(_dims(table, column))})
+            placed.withColumn(PLACE, z_order(column, _dims(table, column))).repartitionByRange(PLACE).sortWithinPartitions(PLACE, table.key).drop(PLACE).write.parquet(path)
+
+    def read_by(self, table: Table, column: str) -> DataFrame:
+        """The table's rows in the layout of a column, with the layout's own columns."""
+        kind = table.indexes[column]["kind"]
+        extra = [T.StructField(BUCKET, T.IntegerType())] if kind == "HASH" else [T.StructField(f"{PLACE}{i}", T.FloatType()) for i in range(_dims(table, column))] if kind == "RTREE" else []
+        schema = T.StructType([*table.schema.fields, *extra])
+        if not table.parts:
+            return self.spark.createDataFrame([], schema)
+        each = [self.spark.read.schema(schema).parquet(_layout_path(p, column)) for p in table.parts] if kind == "HASH" else [self.spark.read.schema(schema).parquet(*(_layout_path(p, column) for p in table.parts))]
+        out = each[0]
+        for df in each[1:]:
+            out = out.unionByName(df)
+        return out
+
+    def vacuum(self, table: Table) -> int:
+        """Delete the folders of parts that are no longer current; returns how many."""
+        current = {p.rsplit("/", 1)[1] for p in table.parts}
+        old = [x for x in files.children(self.spark, f"{self.root}/{table.name}") if x.split(".by.")[0] not in current]
+        for x in old:
+            files.remove(self.spark, f"{self.root}/{table.name}/{x}")
+        return len(old)
+
     def read(self, table: Table) -> DataFrame:
         return self.spark.read.schema(table.schema).parquet(*table.parts) if table.parts else self.spark.createDataFrame([], table.schema)
 
@@ -102,6 +193,9 @@ class Catalog:
         """Write rows, sorted by key so that lookups and ranges prune row groups; the part isn't current yet."""
         path = f"{self.root}/{table.name}/part-{uuid.uuid4().hex}"
         rows.select(*(F.col(c.name) for c in table.columns)).sortWithinPartitions(table.key).write.parquet(path)
+        for column, entry in table.indexes.items():
+            if entry["kind"] in LAYOUTS:
+                self._write_layout(table, path, column)
         return path
 
     def append(self, table: Table, rows: DataFrame) -> tuple[int, int]:
@@ -111,16 +205,21 @@ class Catalog:
         """
         order = F.col("_order") if "_order" in rows.columns else F.monotonically_increasing_id()
         rows = rows.withColumn("_order", order)
-        total = rows.count()
+        total, low, high = rows.agg(F.count("*"), F.min(table.key), F.max(table.key)).first()
         first = rows.groupBy(table.key).agg(F.min_by(F.struct(*(F.col(c.name) for c in table.columns)), "_order").alias("_row")).select("_row.*")
-        fresh = first.join(self.read(table).select(table.key), table.key, "left_anti") if table.parts else first
-        path = self.write_part(table, fresh)
+        if table.parts:
+            # only keys in the new rows' range are read; the range prunes files and row groups
+            known = self.read(table).where(F.col(table.key).between(F.lit(low), F.lit(high))).select(table.key)
+            first = first.join(known, table.key, "left_anti")
+        path = self.write_part(table, first)
         added = self.spark.read.schema(table.schema).parquet(path).count()
         if added:
             table.parts = [*table.parts, path]
             self.save()
         else:
-            files.remove(self.spark, path)
+            for x in files.children(self.spark, f"{self.root}/{table.name}"):
+                if x.startswith(path.rsplit("/", 1)[1]):
+                    files.remove(self.spark, f"{self.root}/{table.name}/{x}")
         return added, total - added
 
     def delete(self, table: Table, condition: Column) -> int:
