@@ -3,7 +3,7 @@
 Every whole text becomes a vector of transformed statistics. Per (lang, source) the
 minimum-covariance-determinant estimate (centre and covariance of the most concentrated share of
 rows) is found by C-steps over all rows, from two starts (the median, and the plain mean and covariance),
-until no group's subset changes; the start with the smaller determinant counts. A document whose
+each until its determinant falls no more; the smallest one counts. A document whose
 Mahalanobis distance is too large is rejected. A C-step is one aggregation: rows are summed by group
 and distance bin on the map side, so neither a hot source nor many groups put more than some hundred
 rows per group in one task.
@@ -24,6 +24,7 @@ Other columns of the input are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import chi2
 from .bytekit import SEP, lines, mix, per_span, seen_before, slices, span_hash, text_bytes, words
-from .storage import discard, saved
+from .storage import saved
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_distinct")
 DIMS = 6
@@ -100,7 +101,7 @@ def _vector() -> list:
 
 
 _KEYS = ("level", "g_lang", "g_source")
-_MODEL = "level int, g_lang string, g_source string, start int, n long, m long, mark string, size double, centre array<double>, cov array<double>, coef array<double>"
+_MODEL = "level int, g_lang string, g_source string, start int, n long, m long, size double, better boolean, centre array<double>, cov array<double>, coef array<double>"
 #: Models are sent to all tasks up to so many rows (half a kilobyte each), else joined by shuffling.
 SEND = 50_000
 
@@ -121,7 +122,7 @@ def _square(flat: list[float]) -> np.ndarray:
 
 def _estimate(key: tuple, bins: pd.DataFrame, share: float) -> pd.DataFrame:
     """Centre and covariance of the bins of the nearest rows that hold the share; start 1 begins with all rows."""
-    *names, start, first = key
+    *names, start, first, was = key
     bins = bins.sort_values("bin")
     n = int(bins["n"].sum())
     part = 1.0 if first and start == 1 else share
@@ -135,7 +136,7 @@ def _estimate(key: tuple, bins: pd.DataFrame, share: float) -> pd.DataFrame:
     held = min(1.0, m / n)
     cov *= held / chi2.cdf(chi2.quantile(held, DIMS), DIMS + 2) if held < 1 else 1.0
     coef, size = _coefficients(cov)
-    return pd.DataFrame({**{k: [v] for k, v in zip(_KEYS, names, strict=True)}, "start": [start], "n": [n], "m": [m], "mark": [f"{m} {sums} {squares}"], "size": [size], "centre": [list(centre)], "cov": [[float(cov[i, j]) for i, j in _PAIRS]], "coef": [coef]})
+    return pd.DataFrame({**{k: [v] for k, v in zip(_KEYS, names, strict=True)}, "start": [start], "n": [n], "m": [m], "size": [size], "better": [size < was - 1e-9], "centre": [list(centre)], "cov": [[float(cov[i, j]) for i, j in _PAIRS]], "coef": [coef]})
 
 
 def _drawn(batches: Iterator[pd.DataFrame], prior: float) -> Iterator[pd.DataFrame]:
@@ -175,20 +176,21 @@ def estimates(rows: DataFrame, *, share: float = 0.75, prior: float = 30.0, step
     every = rows.select(F.explode(F.array(level(0, none, none), level(1, c("k_lang"), none), level(2, c("k_lang"), c("k_source")))).alias("g"), *z).select("g.*", *z)
     medians = every.groupBy(*_KEYS).agg(*(F.percentile(x, F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(z)))
     weight = [F.lit(1.0 / (2 * FLOOR[i] * SCALE) ** 2 if i == j else 0.0) for i, j in _PAIRS]
-    begun = medians.select(*_KEYS, F.explode(F.array(F.lit(0), F.lit(1))).alias("start"), F.lit("").alias("mark"), F.array(*(f"m{i}" for i in range(DIMS))).alias("centre"), F.array(*weight).alias("coef"))
-    model = saved(begun, "quality-mcd")
+    begun = medians.select(*_KEYS, F.explode(F.array(F.lit(0), F.lit(1))).alias("start"), F.lit(float("inf")).alias("size"), F.array(*(f"m{i}" for i in range(DIMS))).alias("centre"), F.array(*weight).alias("coef"))
+    model = saved(begun, "quality-starts")
     bin_of = F.round(8 * F.log2(_distance() + 1e-3)).cast("int").alias("bin")
     sums = [F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(z)), *(F.sum((c(f"z{i}") * c(f"z{j}")).cast("decimal(20,0)")).cast("decimal(38,0)").alias(f"q{i}_{j}") for i, j in _PAIRS)]
+    found = []
     for step in range(steps):
-        bins = every.join(_sent(model.select(*_KEYS, "start", "centre", "coef")), list(_KEYS)).withColumn("bin", bin_of).groupBy(*_KEYS, "start", "bin").agg(*sums)
-        bins = bins.withColumn("first", F.lit(step == 0))
-        after = saved(bins.groupBy(*_KEYS, "start", "first").applyInPandas(lambda key, pdf: _estimate(key, pdf, share), _MODEL), "quality-mcd")
-        moved = after.join(model.select(*_KEYS, "start", c("mark").alias("was")), [*_KEYS, "start"]).where(c("mark") != c("was")).limit(1).count()
-        discard(model)
-        model = after
-        if not moved:
+        moving = model.select(*_KEYS, "start", c("size").alias("was"), "centre", "coef")
+        bins = every.join(_sent(moving), list(_KEYS)).withColumn("bin", bin_of).groupBy(*_KEYS, "start", "was", "bin").agg(*sums)
+        after = bins.withColumn("first", F.lit(step == 0)).groupBy(*_KEYS, "start", "first", "was").applyInPandas(lambda key, pdf: _estimate(key, pdf, share), _MODEL)
+        model = saved(after.where("better"), "quality-mcd")
+        if not model.limit(1).count():
             break
-    best = Window.partitionBy(*_KEYS).orderBy("size", "start")
+        found.append(model)
+    model = reduce(DataFrame.unionByName, found) if found else model
+    best = Window.partitionBy(*_KEYS).orderBy("size", "start", "m")
     chosen = model.withColumn("k", F.row_number().over(best)).where(c("k") == 1)
     part = lambda k, name: chosen.where(c("level") == k).select("g_lang", c("m").alias(f"{name}_m"), c("centre").alias(f"{name}_centre"), c("cov").alias(f"{name}_cov"))
     whole = chosen.where(c("level") == 2).join(F.broadcast(part(0, "all").drop("g_lang")), F.lit(True)).join(part(1, "lang"), "g_lang")  # one row stands for all
