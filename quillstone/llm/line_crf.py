@@ -5,9 +5,9 @@ A document's score is the mean of its lines' forward-backward marginals of "good
 their lengths. The field is fitted to maximum conditional likelihood (with a ridge) on labelled
 documents, whose lines take the document's label.
 
-Fitting reads at most ``max_train`` labelled documents, those with the smallest hashes of their
-ids; line statistics are made on the executors and only they reach the driver. Scoring is one pass
-over all whole texts.
+Fitting reads at most ``max_train`` labelled documents of ``max_lines`` lines in all, those with the smallest
+hashes of their ids, of a repeated id one row; line statistics are made on the executors and only they
+reach the driver. Scoring is one pass over all whole texts.
 
 Cases: null or empty text is one empty line; a null doc_id counts as remainder 0 (not held out) but
 has no label; of several labels of a document the mean counts, rounded up at a half; null labels
@@ -142,15 +142,27 @@ def _held_out(folds: int) -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % folds == 1
 
 
-def fit_documents(docs: DataFrame, labels: DataFrame, *, folds: int = 3, max_train: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+def training_rows(docs: DataFrame, labels: DataFrame, *, folds: int = 3, max_train: int = 4000, max_lines: int = 400_000) -> DataFrame:
+    """doc_id, text and good of the documents that the field is fitted to."""
+    c = F.col
+    known = labels.where(c("quality").isNotNull() & c("doc_id").isNotNull() & ~_held_out(folds)).groupBy(c("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("long").alias("good"))
+    # a row per document of the sample at most, here and below
+    chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))
+    text = F.coalesce(c("text").cast("string"), F.lit(""))
+    slim = docs.select(c("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("x"))
+    lines = (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))).alias("lines")
+    sizes = slim.join(chosen, "doc_id").select("doc_id", "good", "x", lines).groupBy("doc_id", "good").agg(F.min(F.struct("x", "lines")).alias("f"))
+    found = sizes.select("doc_id", "good", "f.x", "f.lines", F.xxhash64("doc_id").alias("order")).toPandas().sort_values(["order", "doc_id"])
+    taken = found[(found["lines"] + 1).cumsum() <= max_lines]
+    fixed = docs.sparkSession.createDataFrame([tuple(map(int, r)) for r in taken[["doc_id", "x", "good"]].itertuples(index=False)], "doc_id long, x long, good long")
+    return slim.join(F.broadcast(fixed), ["doc_id", "x"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "good")
+
+
+def fit_documents(docs: DataFrame, labels: DataFrame, *, folds: int = 3, max_train: int = 4000, max_lines: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
     """The field's weights and transitions; labels: doc_id and quality (0 or 1).
 
     Documents whose crc32(doc_id as text) leaves remainder 1 are held out.
     """
-    c = F.col
-    known = labels.where(c("quality").isNotNull() & c("doc_id").isNotNull() & ~_held_out(folds)).groupBy(c("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("long").alias("good"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -158,9 +170,8 @@ def fit_documents(docs: DataFrame, labels: DataFrame, *, folds: int = 3, max_tra
                 rows = np.split(x.astype(np.float32), np.flatnonzero(np.diff(doc)) + 1)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("good"), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "good", "x"])
 
-    slim = docs.select(c("doc_id").cast("long"), c("text").cast("string"))
-    # at most max_train rows on the joined side
-    train = slim.join(F.broadcast(chosen), "doc_id").mapInArrow(described, "doc_id long, good long, x binary").toPandas().sort_values(["doc_id", "x"])
+    rows = training_rows(docs, labels, folds=folds, max_train=max_train, max_lines=max_lines)
+    train = rows.mapInArrow(described, "doc_id long, good long, x binary").toPandas().sort_values(["doc_id", "x"])
     if train["good"].nunique() < 2:
         return np.zeros(FEATURES), np.zeros((2, 2))
     parts = [np.frombuffer(b, np.float32).reshape(-1, FEATURES).astype(np.float64) for b in train["x"]]

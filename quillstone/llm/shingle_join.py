@@ -1,11 +1,17 @@
-"""Near copies by word shingles: every pair of texts with a Jaccard similarity of at least ``threshold``.
+"""SimHash near-dedup judged by word shingles: every pair of texts with a Jaccard similarity of at least ``threshold``.
 
 A text is the set of its shingles of ``width`` words (lower case, one space between words; a shorter
-text is one shingle), each a 64-bit hash; that is also what SimHash fingerprints are made of, but no
-bit budget stands in for the similarity here. Texts with equal sets are one node. Of two similar sets
+text is one shingle), each a 64-bit hash. Texts with equal sets are one node. First the nodes'
+SimHash fingerprints go through the binary-trie self-join: links within ``bits`` bits are candidates, and
+those whose whole sets are similar enough join their nodes. That settles most of a group of close
+copies at a cost in proportion to its size.
+
+No bit budget can promise the threshold (pairs of 0.8 differ by some ten bits of 64), so the pairs that
+fingerprints miss are completed exactly: of two similar sets
 both hold a common shingle among their first s - ceil(threshold * s) + 1 in any one order, here the
-rarest first (by the frequency of hash buckets, a table of fixed size). These prefixes meet by shingle under length and position filters, and each pair that
-meets is verified on its whole sets before components are formed.
+rarest first (by the frequency of hash buckets, a table of fixed size). These prefixes meet by shingle under
+length and position filters, and each pair that meets, and isn't joined yet, is verified on its
+whole sets before components are formed.
 
 A shingle in over ``hot`` prefixes would pair whole groups of near copies: its sets first meet the
 one with the smallest id, and only those that this leaves outside its component meet all others.
@@ -26,6 +32,7 @@ from xxhash import xxh3_64_intdigest
 
 from .bytekit import LOWER, slices, span_hash, text_bytes
 from .components import components
+from .simhash import links as trie_self_join
 from .simhash import single_spaced
 from .storage import discard, saved, unused
 
@@ -79,8 +86,19 @@ def rarity(docs: DataFrame, width: int) -> np.ndarray:
     return ranks
 
 
+def fingerprints(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A 64-bit SimHash of each set of hashes: the bits that over half of them have."""
+    s = np.diff(off)
+    out, full = np.zeros(len(s), np.uint64), np.flatnonzero(s)
+    if len(full):
+        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        sums = np.add.reduceat(bits, off[:-1][full], axis=0, dtype=np.int64)
+        out[full] = np.packbits(sums * 2 > s[full][:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+    return out
+
+
 def _identified(docs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """d, x, id (of the shingle set), s (its size) and prefix (its rarest hashes) of every row."""
+    """d, x, id (of the shingle set), fp (its fingerprint), s (its size) and prefix (its rarest hashes) of every row."""
     ranks = docs.sparkSession.sparkContext.broadcast(rarity(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,9 +112,9 @@ def _identified(docs: DataFrame, width: int, threshold: float) -> DataFrame:
                 picked = np.repeat(off[:-1] - at, take) + np.arange(take.sum())
                 rare = h[np.lexsort((h, ranks.value[_bucket(h)], np.repeat(np.arange(len(s)), s)))]
                 prefix = pa.ListArray.from_arrays(pa.array(np.append(at, take.sum()), pa.int32()), pa.array(rare[picked].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("x"), pa.array(ids.view(np.int64)), pa.array(s.astype(np.int32)), prefix], names=["d", "x", "id", "s", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("x"), pa.array(ids.view(np.int64)), pa.array(fingerprints(h, off).view(np.int64)), pa.array(s.astype(np.int32)), prefix], names=["d", "x", "id", "fp", "s", "prefix"])
 
-    return docs.select("d", "x", "text").mapInArrow(run, "d long, x long, id long, s int, prefix array<long>")
+    return docs.select("d", "x", "text").mapInArrow(run, "d long, x long, id long, fp long, s int, prefix array<long>")
 
 
 def _met(rows: DataFrame, threshold: float, hot: int) -> DataFrame:
@@ -171,24 +189,47 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, t
     return both.select("u", "v", "a", "b").mapInArrow(similar, "u long, v long")
 
 
+def _close(nodes: DataFrame, bits: int) -> DataFrame:
+    """Pairs (u, v) of nodes that the trie self-join links, or that share a fingerprint: a forest, not all pairs."""
+    c = F.col
+    classes = saved(nodes.groupBy("fp").agg(F.min("id").alias("first_id")), "shingles-prints")
+    twins = nodes.join(classes, "fp").where(c("id") != c("first_id")).select(c("id").alias("u"), c("first_id").alias("v"))
+    hung = saved(trie_self_join(classes.select("fp"), bits=bits).distinct(), "shingles-trie")
+    named = lambda side: classes.select(c("fp").alias(side), c("first_id").alias(f"{side}_id"))
+    linked = hung.join(named("u"), "u").join(named("v"), "v").select(c("u_id").alias("u"), c("v_id").alias("v"))
+    out = saved(linked.union(twins).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "shingles-close")
+    discard(classes, hung)
+    return out
+
+
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs whose nodes are not in one component yet."""
+    root = lambda side: parts.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    both = pairs.join(root("u"), "u", "left").join(root("v"), "v", "left")
+    return both.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+
+
 def _may_match(threshold: float) -> Column:
     y, z = (lambda k: F.col(f"y.{k}")), (lambda k: F.col(f"z.{k}"))
     need = F.ceil((y("s") + z("s")) * (threshold / (1 + threshold)) - 1e-9)
     return F.least(y("s") - y("pos"), z("s") - z("pos")) >= need
 
 
-def one_of_each_similar(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, hot: int = 256) -> DataFrame:
+def one_of_each_similar(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, bits: int = 3, hot: int = 256) -> DataFrame:
     """The rows of docs, one of each component of similar texts: the smallest doc_id (null last), then the smallest hash of the text."""
     c = F.col
     text = c("text").cast("string")
     d, x = F.coalesce(c("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(text)
     keyed = docs.select(d.alias("d"), x.alias("x"), text.alias("text"))
     sets = saved(_identified(keyed, width, threshold), "shingles", 1000)
-    nodes = sets.groupBy("id").agg(F.min(F.struct("d", "x")).alias("first"))
+    nodes = saved(sets.groupBy("id").agg(F.min(F.struct("d", "x")).alias("first"), F.min("fp").alias("fp")), "shingles-nodes")
+    close = _close(nodes, bits)
+    near = saved(_verified(close, nodes, keyed, width, threshold), "shingles-near")
+    known = components(near, "shingles-known")
     rows = sets.dropDuplicates(["id"]).select("id", "s", F.posexplode("prefix").alias("pos", "token"))
     met = saved(_met(rows, threshold, hot), "shingles-met")
-    pairs = saved(met.where(c("v").isNotNull()).select("u", "v").distinct(), "shingles-pairs")
-    links = saved(_verified(pairs, nodes, keyed, width, threshold), "shingles-links")
+    pairs = saved(_apart(met.where(c("v").isNotNull()).select("u", "v").distinct(), known), "shingles-pairs")
+    links = near.union(saved(_verified(pairs, nodes, keyed, width, threshold), "shingles-links"))
     parts = components(links, "shingles-parts")
     crowded = met.where(c("v").isNull()).select(c("u").alias("id"), "token", "s", "pos")
     if crowded.limit(1).count():
@@ -202,7 +243,7 @@ def one_of_each_similar(docs: DataFrame, *, width: int = 5, threshold: float = 0
         parts = components(links, "shingles-parts")
     named = nodes.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = saved(named.groupBy("root").agg(F.min("first").alias("f")).select("f.d", "f.x"), "shingles-first")
-    discard(sets, met, pairs)
+    discard(sets, met, pairs, nodes, close, near, known)
     kd, kx = unused(docs.columns, "d", "x")
     kept = docs.withColumns({kd: d, kx: x}).join(first.toDF(kd, kx), [kd, kx], "left_semi")
     return kept.dropDuplicates([kd, kx]).select(*docs.columns)

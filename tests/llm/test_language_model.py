@@ -59,6 +59,44 @@ def test_matches_brute_force(spark, odd_docs, block_bytes):
     np.testing.assert_allclose([g[5:] for g in got], [e[5:] for e in expected], rtol=1e-6)
 
 
+def plain_em(tokens, uniform, rounds=400):
+    """Weights per context bucket from exact probabilities of every held-out token, in plain loops."""
+    weights = {}
+    for b in {t[0] for t in tokens}:
+        mine = [t[1:] for t in tokens if t[0] == b]
+        w = [1 / 3, 1 / 3, 1 / 3] if b else [0.0, 0.5, 0.5]
+        for _ in range(rounds):
+            sums = [0.0, 0.0, 1e-3]
+            for p2, p1 in mine:
+                parts = [w[0] * p2, w[1] * p1, w[2] * uniform]
+                for i, x in enumerate(parts):
+                    sums[i] += x / sum(parts)
+            w = [x / sum(sums) for x in sums]
+        weights[b] = w
+    return weights
+
+
+def test_weights_against_a_plain_em():
+    r = np.random.default_rng(5)
+    tokens = []
+    for b in (0, 1, 3, 6):
+        for _ in range(400):
+            p1 = float(r.choice([0, 1e-4, 2e-3, 0.03, 0.1]))
+            p2 = float(r.choice([0, 0, 0.01, 0.2, 0.7])) if b else 0.0
+            tokens.append((b, p2, p1))
+    steps = lambda x: round(-lm.STEP * math.log2(x)) if x else -1
+    held = Counter((b, steps(p2), steps(p1)) for b, p2, p1 in tokens)
+    table = {k: np.array([x[i] for x in held]) for i, k in enumerate(("bucket", "q2", "q1"))} | {"n": np.array(list(held.values()))}
+    got, want = lm.fit_weights(table, 1e-5, rounds=400), plain_em(tokens, 1e-5)
+    for b, w in want.items():
+        np.testing.assert_allclose(got[b], w, atol=0.03)  # probabilities are kept in steps of a quarter of log2
+    assert (got[2] == got[1]).all() or (got[2] == got[3]).all()
+
+
+def test_buckets_are_powers_of_two():
+    assert lm.bucket(np.array([0.0, 1, 2, 3, 4, 7, 8, 1023, 1024])).tolist() == [0, 1, 2, 2, 3, 3, 4, 10, 11]
+
+
 def test_empty(no_docs):
     assert lm.interpolated_scores(no_docs).collect() == []
 

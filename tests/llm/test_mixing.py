@@ -1,3 +1,5 @@
+import hashlib
+import math
 from collections import Counter
 
 import duckdb
@@ -42,7 +44,22 @@ def test_order_is_global_and_repeatable(spark):
 
 def test_odd_rows(spark, odd_docs, no_docs):
     got = mixing.mix(odd_docs)
-    assert set(got.columns) == {*odd_docs.columns, "copy"} and got.count() > 0
+    assert set(got.columns) == {*odd_docs.columns, "copy"}
+    # by value: a count per row from its id and its source's rate, worked out without the module
+    rows = odd_docs.collect()
+    held = Counter(r.source for r in rows)
+    want = Counter()
+    for r in rows:
+        u = int(hashlib.md5(f"7:count:{'null' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+        rate, k, p, total = len(rows) / len(held) / held[r.source], 0, None, 0.0
+        while True:
+            total += math.exp(-rate) * rate**k / math.factorial(k)
+            if total > u:
+                break
+            k += 1
+        for copy in range(1, k + 1):
+            want[(str(r.doc_id), r.text, r.source, copy)] += 1
+    assert Counter((str(r.doc_id), r.text, r.source, r.copy) for r in got.collect()) == want
     assert mixing.mix(no_docs).collect() == []
     assert set(mixing.mix(odd_docs.withColumnRenamed("key", "copy")).columns) == {*odd_docs.columns, "copy"} - {"key"}
 

@@ -60,3 +60,20 @@ def test_digest_is_crc32_of_the_ids(spark):
 
     p = packing.pack(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), PATH).select("ids", F.crc32("ids").alias("x")).first()
     assert p.x == zlib.crc32(bytes(p.ids))
+
+
+def test_sequences_follow_the_curve(spark):
+    import random
+
+    r = random.Random(3)
+    topics = [[f"{c}{i}" for i in range(40)] for c in ("alpha", "beta", "gamma", "delta")]
+    rows = [(i, " ".join(r.choice(topics[i % 4]) for _ in range(r.randint(20, 60)))) for i in range(120)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), PATH, length=256, part_bytes=400).collect()
+    walk = [p.doc_id for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)) if p.start == 0]
+    full = Tokenizer.from_file(PATH)
+    ids = [np.array(full.encode(t, add_special_tokens=False).ids + [2]) for _, t in rows]
+    key = dict(enumerate(packing.curve_keys(ids).tolist()))
+    assert walk == sorted(range(120), key=lambda i: (key[i], i)) != list(range(120))
+    # neighbours on the curve are alike: far more often of one topic than by chance
+    same = sum(a % 4 == b % 4 for a, b in itertools.pairwise(walk)) / 119
+    assert same > 0.5

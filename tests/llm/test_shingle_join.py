@@ -1,11 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from test_simhash import WORD
 
 import corpus_pipeline as cp
-from quillstone.llm.shingle_join import one_of_each_similar
+from quillstone.llm.shingle_join import fingerprints, one_of_each_similar
 
 
 def shingles(text, width=5):
@@ -62,3 +63,17 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert one_of_each_similar(no_docs).collect() == []
     kept = one_of_each_similar(odd_docs)
     assert kept.columns == odd_docs.columns and 0 < kept.count() < odd_docs.count()
+
+
+@pytest.mark.parametrize("bits", [0, 3, 7])
+def test_fingerprints_never_change_the_result(spark, bits):
+    rows = corpus(17)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in one_of_each_similar(docs, bits=bits).collect()) == brute_kept(rows)
+
+
+def test_fingerprints_of_sets():
+    r = random.Random(1)
+    sets = [[r.getrandbits(64) for _ in range(n)] for n in (5, 0, 1, 12)]
+    got = fingerprints(np.array([x for s in sets for x in s], np.uint64), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
+    assert got.tolist() == [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in s) > len(s)) for s in sets]

@@ -75,3 +75,16 @@ def test_long_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(5, 5), (None, 3), (1000, 1001)]
     got = {(r.node, r.root) for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {(i, 0) for i in range(41)} | {(1000, 1000), (1001, 1000)}
+
+
+def test_one_of_each_with_any_column_names(spark):
+    from quillstone.llm.shingle_join import one_of_each_similar
+    from quillstone.llm.simhash import one_of_each
+
+    names = ["_order", "_simhash_d", "_simhash_x", "_shingle_d", "d", "x", "D_"]
+    df = spark.createDataFrame([(i, f"a b c d e f g h {i // 2}", *[f"{n}{i}" for n in names]) for i in range(6)], f"doc_id long, text string, {', '.join(f'{n} string' for n in names)}")
+    for run in (one_of_each, one_of_each_similar):
+        got = run(df)
+        assert got.columns == df.columns
+        for r in got.collect():
+            assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names] and r.doc_id % 2 == 0
