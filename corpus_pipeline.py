@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the
 last return the columns of documents. run() applies them to documents, writing each result to
 shared storage, so that a lost executor costs one stage at most.
+
+Cases: documents with null or empty texts are classified by their one empty line; null ids come last where
+order matters; repeated ids with other texts are separate documents throughout, repeated rows are copies of
+each other (one stays); null sources are a source of their own; columns other than those of
+documents are dropped by the first stage; an empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -18,8 +23,8 @@ from quillstone.llm.shingle_join import one_of_each_similar
 from quillstone.llm.storage import saved
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Near copies: Jaccard of at least 0.8 over shingles of five words. BITS is not used by the stage (fingerprints
-#: within three bits are copies of about 0.97 and up only); tests/llm/test_pipeline.py reads it.
+#: Near copies: Jaccard of at least 0.8 over shingles of five words. Fingerprints within three bits are candidates;
+#: pairs that differ by more, which at 0.8 most do, are completed by rare shingles.
 WIDTH, BITS, SIMILAR = 5, 3, 0.8
 
 
@@ -35,7 +40,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies, keep the document with the smallest id."""
-    return one_of_each_similar(docs.select(*COLUMNS), width=WIDTH, threshold=SIMILAR)
+    return one_of_each_similar(docs.select(*COLUMNS), width=WIDTH, threshold=SIMILAR, bits=BITS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
