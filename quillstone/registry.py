@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.geometry import cosine, dot, norm
-from .functions.text import plain_tokens
+from .functions.text import plain_tokens, stemmed
 from .operators import fulltext, media
 from .session import Engine
 from .sources import files
@@ -106,6 +106,33 @@ def text_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERY = "the thonre ering tion reing with the haned"
 
 
+#: Words and stems from the published sample vocabularies of the two stemming algorithms.
+STEMS = {
+    "english": {
+        "consign": "consign", "consigned": "consign", "consigning": "consign", "consignment": "consign", "consist": "consist", "consistency": "consist", "consistently": "consist", "consolation": "consol",
+        "consolatory": "consolatori", "consolidate": "consolid", "consolingly": "consol", "consonant": "conson", "conspicuous": "conspicu", "conspicuously": "conspicu", "conspiracy": "conspiraci",
+        "conspirators": "conspir", "constable": "constabl", "constancy": "constanc", "constant": "constant", "knackeries": "knackeri", "knaves": "knave", "knavish": "knavish", "kneaded": "knead",
+        "kneeled": "kneel", "knees": "knee", "knife": "knife", "knightly": "knight", "knitted": "knit", "knives": "knive", "knockers": "knocker",
+    },
+    "spanish": {
+        "cheque": "chequ", "chequeo": "cheque", "cheques": "chequ", "chetumaleños": "chetumaleñ", "cheyenne": "cheyenn", "chiapaneca": "chiapanec", "chiapas": "chiap", "chicana": "chican", "chicas": "chic",
+        "chicharrones": "chicharron", "chichimecas": "chichimec", "chicles": "chicl", "torcer": "torc", "toreado": "tor", "toreándolo": "tor", "torear": "tor", "toreó": "tore", "toreros": "torer",
+        "tormentas": "torment", "tornados": "torn", "tornen": "torn", "torneos": "torne", "tornillos": "tornill", "torniquete": "torniquet", "torpedearon": "torped", "torpeza": "torpez", "torrenciales": "torrencial",
+        "torrente": "torrent", "torreón": "torreon", "torres": "torr",
+    },
+}
+
+
+def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stems of the sample words; the tables are not read."""
+    out = None
+    for language, words in STEMS.items():
+        rows = spark.createDataFrame([(w, w) for w in words], "word string, stem string")
+        found = stemmed(rows, "stem", language).select(F.lit(language).alias("language"), "word", "stem")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def _search(limit: int | None, language: str = "simple", lang: str | None = None, query: str = QUERY, virtual: bool = False):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         engine = Engine(spark)
@@ -230,6 +257,44 @@ def _parts(spark: SparkSession, sf_dir: str) -> Engine:
     return engine
 
 
+def index_hash_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equality in a HASH layout: one bucket's folder is read."""
+    return _parts(spark, sf_dir).sql('SELECT p_partkey, p_brand FROM part WHERE p_brand = "Brand#23"').data
+
+
+def index_btree_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range in a BTREE layout, made after the rows."""
+    engine = _parts(spark, sf_dir)
+    _done(engine.sql("CREATE INDEX ON part (p_size) USING BTREE"))
+    return engine.sql("SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 20").data
+
+
+def index_rtree_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A radius in an RTREE layout of points."""
+    engine = _database(spark)
+    _done(engine.sql("CREATE TABLE points (vec_id INT KEY, label INT, place ARRAY[FLOAT, 2] INDEX RTREE)"))
+    engine.insert("points", _read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int"), "label", F.slice("embedding", 1, 2).alias("place")))
+    return engine.radius("points", "place", (0.01, -0.02), 0.12).drop("place")
+
+
+def dropped_and_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index, a virtual column and a table are dropped; another session of the same root finds the rest."""
+    engine = _region(spark, sf_dir)
+    _done(engine.sql("ALTER TABLE region ADD COLUMN both AS CONCAT(r_regionkey, r_name); DROP INDEX r_name ON region; ALTER TABLE region DROP COLUMN both"))
+    _done(engine.sql("CREATE TABLE gone (id INT KEY); DROP TABLE gone"))
+    again = Engine(spark, engine.catalog.root.rsplit("/", 1)[0])
+    info = again.table_info("region")
+    found = [(t, len(again.table_info(t)["indexes"]), len(info["virtual"]), info["key"]) for t in again.tables()]
+    return spark.createDataFrame(found, "name string, indexes int, virtual int, key string").crossJoin(F.broadcast(again.scan("region").agg(F.count("*").alias("rows"))))
+
+
+def trimmed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts are trimmed and cut to their bytes, absent values become defaults."""
+    engine = _database(spark)
+    _done(engine.sql('CREATE TABLE t (id INT KEY, s VARCHAR[4], x FLOAT, d DATE); INSERT INTO t VALUES (1, "  ab  ", 1.5, "2020-01-02"); INSERT INTO t VALUES (2, "abcdef"); INSERT INTO t (id, s) VALUES (3, "ñandú")'))
+    return engine.scan("t")
+
+
 def delete_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = _parts(spark, sf_dir)
     _done(engine.sql("DELETE FROM part WHERE p_size = 7"))
@@ -300,6 +365,7 @@ QUERIES = {
     "between_date_iso": lambda spark, sf_dir: (lambda e: (e.register("orders", _read(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")), "o_orderkey"), e.sql('SELECT * FROM orders WHERE day BETWEEN "1995-01-01" AND "1995-03-31"').data)[1])(Engine(spark)),
     "virtual_concat": lambda spark, sf_dir: (lambda e: (e.sql("ALTER TABLE part ADD COLUMN label AS CONCAT(p_name, p_brand, p_size)"), e.sql("SELECT p_partkey, label FROM part").data)[1])(_engine(spark, sf_dir, "part")),
     "insert_then_select": insert_then_select, "insert_duplicate_rejected": insert_duplicate_rejected, "delete_eq": delete_eq, "delete_range": delete_range, "delete_counts": delete_counts,
+    "index_hash_eq": index_hash_eq, "index_btree_range": index_btree_range, "index_rtree_radius": index_rtree_radius, "dropped_and_reopened": dropped_and_reopened, "trimmed_values": trimmed_values,
     "load_csv_mapping": load_csv_mapping, "load_csv_autokey": load_csv_autokey, "load_csv_badrows": load_csv_badrows,
     "spatial_radius_2d": _point_query("SELECT * FROM points WHERE place IN ((0.01, -0.02), 0.12)", 2),
     "spatial_knn_2d": _point_query("SELECT * FROM points WHERE place NEAREST ((0.05, 0.1), 12)", 2),
@@ -309,6 +375,7 @@ QUERIES = {
     "text_tokens": text_tokens, "text_tf": text_tf, "text_df_idf": text_df_idf, "text_norms": text_norms,
     "fulltext_all": _search(None), "fulltext_topk": _search(10), "fulltext_virtual": _search(15, virtual=True),
     "fulltext_stemmed_es": _search(10, "spanish", "es", "que mente ciones los con"),
+    "stems": stems,
     "bovw_histogram": bovw_histogram, "bovw_idf": bovw_idf, "bovw_seq_topk": _bovw(media.sequential_scores, 8), "bovw_inv_topk": _bovw(media.inverted_scores, 8), "bovw_kmeans_codebook": bovw_kmeans_codebook,
     "catalog_stats": catalog_stats,
 }
@@ -332,6 +399,11 @@ ORACLES: dict[str, str] = {
     "delete_eq": "SELECT p_partkey::INT AS p_partkey, p_size FROM part WHERE p_size <> 7",
     "delete_range": "SELECT p_partkey::INT AS p_partkey, p_brand FROM part WHERE NOT p_partkey BETWEEN 10 AND 60",
     "delete_counts": "SELECT 0 AS step, count(*) AS deleted FROM part WHERE p_size BETWEEN 1 AND 9 UNION ALL SELECT 1, count(*) FROM part WHERE p_size BETWEEN 10 AND 12",
+    "index_hash_eq": "SELECT p_partkey::INT AS p_partkey, p_brand FROM part WHERE p_brand = 'Brand#23'",
+    "index_btree_range": "SELECT p_partkey::INT AS p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 20",
+    "index_rtree_radius": "SELECT vec_id::INT AS vec_id, label FROM (" + _point_sql(2, (0.01, -0.02), "WHERE dist <= 0.12") + ")",
+    "dropped_and_reopened": "SELECT 'region' AS name, 0 AS indexes, 0 AS virtual, 'r_regionkey' AS key, count(*) AS rows FROM region",
+    "trimmed_values": "SELECT * FROM (VALUES (1, 'ab', 1.5::FLOAT, '2020-01-02'), (2, 'abcd', 0::FLOAT, ''), (3, 'ñan', 0::FLOAT, '')) v(id, s, x, d)",
     "load_csv_mapping": "SELECT n_nationkey, n_name, n_nationkey::FLOAT AS x, n_regionkey::FLOAT AS y FROM nation",
     "load_csv_autokey": "SELECT (row_number() OVER (ORDER BY n_name))::INT AS id, n_name, n_regionkey FROM nation",
     "load_csv_badrows": """WITH t AS (SELECT n_nationkey % 20 AS id FROM nation WHERE n_nationkey % 5 <> 0)
@@ -350,6 +422,7 @@ SELECT vec_id, round(d, 6) AS dot, round(n, 6) AS norm, CASE WHEN n * m > 0 THEN
     "fulltext_all": _search_sql(QUERY),
     "fulltext_topk": _search_sql(QUERY, "ORDER BY exact DESC, doc_id LIMIT 10"),
     "fulltext_virtual": _search_sql(QUERY, "ORDER BY exact DESC, doc_id LIMIT 15", "concat_ws(' ', trim(source), trim(text))"),
+    "stems": "SELECT * FROM (VALUES " + ", ".join(f"('{language}', '{w}', '{x}')" for language, words in STEMS.items() for w, x in words.items()) + ") v(language, word, stem)",
     "bovw_histogram": f"WITH {_bovw_sql()} SELECT key, word, round(share, 6) AS share FROM hist",
     "bovw_idf": f"WITH {_bovw_sql()} SELECT word, round(idf, 6) AS idf FROM idf",
     "bovw_seq_topk": f"""WITH {_bovw_sql()}, s AS (SELECT key, coalesce(sum(share * qw), 0) AS dot, sqrt(sum(share * share)) AS norm FROM hist LEFT JOIN q USING (word) GROUP BY key)

@@ -2,6 +2,9 @@
 
 A row whose number can't be read is skipped and counted; blank cells become the type's default; a
 key that the header lacks is numbered from 1 in file order.
+
+The file is split among tasks unless a quoted cell holds a line break (some line then has an odd number of
+quotes), and parsed once: typed rows are kept in a scratch folder for the steps that follow.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..plans import nodes as n
 from .files import first_line
+from .scratch import new_folder
 from .tables import Table, default, fitted, spark_type
 
 
@@ -27,10 +31,15 @@ def _number(value: Column, of: str) -> Column:
     return F.when(value.isNull(), F.lit(0).cast(of)).otherwise(value.try_cast(of))
 
 
+def _broken_lines(spark: SparkSession, path: str) -> bool:
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return spark.read.text(path).where(quotes % 2 == 1).limit(1).count() > 0
+
+
 def load(spark: SparkSession, table: Table, path: str, mapping: dict[str, tuple[str, ...]]) -> tuple[DataFrame, int]:
     """Typed rows with their order in column _order, and how many were unreadable."""
     sep = separator(first_line(spark, path))
-    raw = spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False).withColumn("_order", F.monotonically_increasing_id())
+    raw = spark.read.csv(path, header=True, sep=sep, multiLine=_broken_lines(spark, path), escape='"', ignoreLeadingWhiteSpace=False).withColumn("_order", F.monotonically_increasing_id())
     header = set(raw.columns)
     out, checks = [], []
     for c in table.columns:
@@ -56,7 +65,9 @@ def load(spark: SparkSession, table: Table, path: str, mapping: dict[str, tuple[
     sound = checks[0] if checks else F.lit(True)
     for x in checks[1:]:
         sound = sound & x
-    marked = raw.select("_order", sound.alias("_sound"), *(v.alias(k) for k, v in out))
+    folder = new_folder(spark, "load")
+    raw.select("_order", sound.alias("_sound"), *(v.alias(k) for k, v in out)).write.parquet(folder)
+    marked = spark.read.parquet(folder)
     return marked.where("_sound").drop("_sound"), marked.where(~F.col("_sound")).count()
 
 
