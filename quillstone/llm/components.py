@@ -1,7 +1,9 @@
 """Connected components of a link table, by alternating large-star and small-star rounds.
 
-No task holds a component: every round is an aggregation (minimum neighbour) and a join, and the
-table of links is written to shared storage after each, so lost executors cost one round at most.
+No task holds a component: every round is an aggregation (minimum neighbour) and a join, and their
+tables are written to shared storage, so lost executors cost one round at most. The join meets the table of
+minima as it was written: both sides are then plain exchanges, of which adaptive execution splits the one where a root has
+many links.
 """
 
 from __future__ import annotations
@@ -9,17 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, saved
+from .storage import discard, fresh, saved
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     c = F.col
     both = links.unionByName(links.select(c("v").alias("u"), c("u").alias("v")))
     near = both if large else both.where(c("v") < c("u"))
-    least = near.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+    least = saved(near.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "components-least")
     hung = near.join(least, "u")
-    out = hung.where(c("v") > c("u")).select(c("v").alias("u"), c("m").alias("v")) if large else hung.select(c("v").alias("u"), c("m").alias("v")).union(least.select("u", c("m").alias("v")))
-    return out.where(c("u") != c("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    out = hung.where(c("v") > c("u")).select(c("v").alias("u"), c("m").alias("v")) if large else hung.select(c("v").alias("u"), c("m").alias("v")).union(fresh(least).select("u", c("m").alias("v")))
+    done = saved(out.where(c("u") != c("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
+    discard(least)
+    return done
 
 
 def _print(links: DataFrame) -> tuple:
@@ -37,8 +41,10 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     now = saved(links.where(c("u") != c("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     seen = _print(now)
     while seen[0]:
-        before, now = now, saved(_star(_star(now, True), False), name)
-        discard(before)
+        half = _star(now, True)
+        discard(now)
+        now = _star(half, False)
+        discard(half)
         after = _print(now)
         if after == seen:
             break

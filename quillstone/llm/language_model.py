@@ -189,16 +189,17 @@ def score_block(docs: pa.Table, back: pa.Table, weights: np.ndarray, n: float, v
     p = w[:, 0] * np.divide(c2, context, out=np.zeros_like(c2), where=context > 0) + w[:, 1] * c1 / max(n, 1) + w[:, 2] / (v + 1)
     many = docs.num_rows
     per = lambda x=None: np.bincount(doc, x, many)
+    score = per(np.log10(p))
     return pa.table(
         {
             "doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": per().astype(np.int64), "n_known": per(c1 > 0).astype(np.int64),
-            "train_tokens": np.full(many, int(n), np.int64), "base_score": per(np.log10((c1 + 0.5) / (n + 0.5 * (v + 1)))), "score": per(np.log10(p)),
+            "train_tokens": np.full(many, int(n), np.int64), "base_score": per(np.log10((c1 + 0.5) / (n + 0.5 * (v + 1)))), "score": score, "mean_score": score / np.maximum(per(), 1),
         }
     )
 
 
 def interpolated_scores(docs: DataFrame, *, folds: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10), and mean_score (per token) of every row.
 
     Documents whose crc32(doc_id as text) leaves remainder 1 are not learned from; those of
     remainder 2 are the held-out part that the weights are found on.
@@ -220,6 +221,6 @@ def interpolated_scores(docs: DataFrame, *, folds: int = 5, block_bytes: int = 1
     held = fold_docs.groupBy("block").cogroup(fold_back.groupBy("block")).applyInArrow(lambda d, b: held_out_table(d, b, n - fold_n, starts, fold_starts), "bucket long, q2 long, q1 long, n long")
     table = held.groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).toPandas()
     weights = fit_weights({k: table[k].to_numpy(np.int64) for k in table}, 1 / (v + 1))
-    shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mean_score double"
     return dealt.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(lambda d, b: score_block(d, b, weights, n, v, starts), shape)
 
