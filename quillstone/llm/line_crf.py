@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekit import SEP, lines, mix, per_span, seen_before, slices, span_hash, text_bytes, words
+from .storage import saved
 
 OWN = 12
 #: Statistics that the line before and the line after also lend.
@@ -191,7 +192,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, folds: int = 3, max_train: i
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(p))], names=["doc_id", "score", "line_scores"])
 
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, line_scores array<double>")
-    return scored.select("doc_id", _held_out(folds).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "line_scores")
+    return saved(scored, "crf-scores", 1000).select("doc_id", _held_out(folds).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "line_scores")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, folds: int = 3, max_train: int = 4000) -> DataFrame:
@@ -204,4 +205,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, folds: int = 3, max_train:
                 score, _, _ = score_texts(*text_bytes(batch.column("text")), w, trans)
                 yield batch.filter(pa.array(score >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return saved(docs.mapInArrow(run, docs.schema), "crf-kept", 1000)
