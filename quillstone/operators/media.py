@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keypoints import orb, sift
+from .resample import resized
+
 IMAGES = ("jpg", "jpeg", "png", "bmp", "tiff", "gif", "webp")
 SOUNDS = ("mp3", "wav", "flac", "ogg", "m4a", "aac")
 
@@ -137,19 +140,6 @@ def gray(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     return x[:, :, 0] if channels == 1 else x[:, :, :3] @ np.array([0.114, 0.587, 0.299])
 
 
-def resized(x: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Bilinear, pixel centres aligned."""
-    def line(n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
-        a = np.floor(at).astype(int)
-        return a, np.minimum(a + 1, n - 1), at - a
-
-    a, b, f = line(x.shape[0], height)
-    c, d, g = line(x.shape[1], width)
-    rows = x[a] * (1 - f)[:, None] + x[b] * f[:, None]
-    return rows[:, c] * (1 - g) + rows[:, d] * g
-
-
 def hog(x: np.ndarray, size: int = 128, cell: int = 8, bins: int = 9) -> np.ndarray:
     """One row: oriented gradients of all windows of 64 x 128 pixels, blocks of 2 x 2 cells, clipped unit length."""
     x = resized(x, size, size)
@@ -168,7 +158,7 @@ def hog(x: np.ndarray, size: int = 128, cell: int = 8, bins: int = 9) -> np.ndar
 
 
 #: feature name -> function from file bytes (of images: brightness) to descriptor rows; further ones can be registered.
-EXTRACTORS: dict[str, Callable] = {"SPECTRAL": spectral, "MFCC": mfcc, "CHROMA": chroma, "HOG": hog}
+EXTRACTORS: dict[str, Callable] = {"SPECTRAL": spectral, "MFCC": mfcc, "CHROMA": chroma, "HOG": hog, "SIFT": sift, "ORB": orb}
 
 
 def extract(files: DataFrame, feature: str) -> DataFrame:

@@ -115,7 +115,7 @@ def test_media(spark, tmp_path, engine):
     assert engine.sql('SELECT id FROM s WHERE id <-> "2.wav"').data.count() == 5
     assert engine.sql("DROP INDEX MULTIMEDIA ON s").message.startswith("OK")
     with pytest.raises(NotImplementedError):
-        media.extract(spark.createDataFrame([(1, bytearray(b"x"))], "key int, content binary"), "SIFT")
+        media.extract(spark.createDataFrame([(1, bytearray(b"x"))], "key int, content binary"), "OTHER")
 
 
 def test_stream(engine, tmp_path):
