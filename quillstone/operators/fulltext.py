@@ -1,6 +1,6 @@
 """Ranked full-text search: TF-IDF weights, cosine scores.
 
-The index is three tables: postings (term, key, tf) sorted by term, so that a query's terms prune
+The index is three tables: postings (term, key, tf) in files sorted by term, so that a query's terms prune
 row groups; terms (term, df, idf); norms (key, norm). Building is two aggregations and a join by
 term; no document or term list is gathered. A search sends the few query terms to all tasks and
 aggregates by key.
@@ -29,7 +29,10 @@ class TextIndex:
 
 def term_counts(df: DataFrame, key: str, text: Column, language: str) -> DataFrame:
     """(term, key, tf)."""
-    words = df.select(F.col(key), F.explode(plain_tokens(text, language)).alias("term"))
+    # whole rows are dealt out by key, so words are counted where they stand; the outer explode infers no
+    # filter on the words, which would analyse every text twice
+    whole = df.select(F.col(key), text.alias("_text")).repartition(key)
+    words = whole.select(key, F.explode_outer(plain_tokens(F.col("_text"), language)).alias("term")).where(F.col("term").isNotNull())
     counted = words.groupBy(key, "term").agg(F.count("*").alias("tf"))
     if language in ("simple",):
         return counted
@@ -59,7 +62,8 @@ def extended(old: TextIndex, fresh: DataFrame, text: Column, total: int, path: s
 def _indexed(postings: DataFrame, total: int, key: str, language: str, path: str | None) -> TextIndex:
     spark = postings.sparkSession
     if path:
-        postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        # by hash: ranges would sample the words first, and so make them twice
+        postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         postings = spark.read.parquet(f"{path}/postings")
     terms = inverse_frequencies(postings, total)
     if path:

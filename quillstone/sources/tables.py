@@ -159,8 +159,8 @@ class Catalog:
             rows.repartitionByRange(column).sortWithinPartitions(column, table.key).write.parquet(path)
         elif kind == "HASH":
             hashed = rows.withColumn(BUCKET, _bucket(F.col(column)))
-            # the key spreads a frequent value over tasks; its folder then has several files
-            hashed.repartition(BUCKET, F.pmod(F.hash(table.key), F.lit(8))).sortWithinPartitions(BUCKET, column).write.partitionBy(BUCKET).parquet(path)
+            # rebalanced: small buckets share a task, a bucket with a frequent value is split over several
+            hashed.hint("rebalance", F.col(BUCKET)).sortWithinPartitions(BUCKET, column).write.partitionBy(BUCKET).parquet(path)
         elif kind == "RTREE":
             placed = rows.withColumns({f"{PLACE}{i}": F.get(column, F.lit(i)) for i in range(_dims(table, column))})
             placed.withColumn(PLACE, z_order(column, _dims(table, column))).repartitionByRange(PLACE).sortWithinPartitions(PLACE, table.key).drop(PLACE).write.parquet(path)
