@@ -71,7 +71,7 @@ class WordTokenizer:
                 self.by_piece |= {p: data[a:b] for p, a, b in zip(some, [0, *cuts], cuts, strict=False)}
             else:
                 self.by_piece |= {p: np.array(self.full.encode(p, add_special_tokens=False).ids, "<u2").tobytes() for p in some}
-        self.by_word |= {w: b"".join([self.by_piece[p] for p in ps]) for w, ps in split.items()}
+        self.by_word |= {w: b"".join(map(self.by_piece.__getitem__, ps)) for w, ps in split.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 16-bit numbers."""
@@ -85,7 +85,7 @@ class WordTokenizer:
             if len(self.by_piece) > self.limit:
                 self.by_piece.clear()
             self._learn(new)
-        return [b"".join([known[w] for w in words]) for words in split]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 @lru_cache(2)
