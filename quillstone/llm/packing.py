@@ -56,6 +56,13 @@ class WordTokenizer:
     def _learn(self, new: set[bytes]) -> None:
         split: dict[bytes, list[str]] = {}
         for word in new:
+            # most words are letters alone, or letters and one mark: their pieces need no pattern
+            if word.isalpha():
+                split[word] = [word.lower().decode()]
+                continue
+            if word[:-1].isalpha() and word[-1:] in b".,;:!?":
+                split[word] = [word[:-1].lower().decode(), word[-1:].decode()]
+                continue
             text = word.decode()
             if _PLAIN.fullmatch(text):
                 split[word] = self.pieces.findall(text.lower())
