@@ -445,7 +445,8 @@ def cut(docs: DataFrame, spans: list[DataFrame]) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges, maximal) and kept (the remaining bytes) of every row."""
     listed = reduce(DataFrame.unionByName, spans).groupBy("d", "x").agg(F.collect_set(F.struct("begin", "until")).alias("spans"))
     joined = keyed(docs).join(listed, ["d", "x"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<begin:long,until:long>>, kept binary")
+    # written in batches of bounded rows: an Arrow batch of 10,000 long texts is held several times over
+    return saved(joined.mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<begin:long,until:long>>, kept binary"), "repeats-kept", 1000)
 
 
 def remove_repeats(docs: DataFrame, *, batches: int = 2, **options) -> DataFrame:
