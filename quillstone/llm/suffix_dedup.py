@@ -455,4 +455,6 @@ def remove_repeats(docs: DataFrame, *, batches: int = 2, **options) -> DataFrame
     for b in range(batches):
         index.add(docs.where(F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(batches)) == b))
     discard(*(level for _, level in index.levels))
-    return cut(docs, index.spans)
+    out = cut(docs, index.spans)
+    discard(*index.spans)
+    return out
