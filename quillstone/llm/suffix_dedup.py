@@ -265,7 +265,8 @@ def _match(batches: Iterator[pa.RecordBatch], length: int, k: int, batch_size: i
     for batch in batches:
         for lo, old, *record in zip(*(batch.column(c).to_pylist() for c in ("lo", "old", "d", "x", "pos", "left", "right")), strict=True):
             held.setdefault(lo, ([], []))[old].append(record)
-    for new, old in held.values():
+    while held:
+        new, old = held.popitem()[1]
         family = Family(length, k)
         if old:
             family.hold(old)
@@ -375,7 +376,7 @@ class Index:
     k: int = 64
     max_run: int = 100_000
     batch_size: int = 32768
-    task_bytes: int = 96 << 20
+    task_bytes: int = 40 << 20
     levels: list[tuple[int, DataFrame]] = field(default_factory=list)
     texts: list[DataFrame] = field(default_factory=list)
     spans: list[DataFrame] = field(default_factory=list)
