@@ -82,8 +82,8 @@ def _documents(spark: SparkSession, sf_dir: str, lang: str | None = None) -> Dat
     return docs if lang is None else docs.where(F.col("lang") == lang)
 
 
-def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fulltext.term_counts(_documents(spark, sf_dir), "doc_id", F.col("text"), "simple")
+def _tf(spark: SparkSession, sf_dir: str, slices: int | None = None) -> DataFrame:
+    return fulltext.term_counts(_documents(spark, sf_dir), "doc_id", F.col("text"), "simple", slices)
 
 
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,8 @@ def text_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_df_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fulltext.inverse_frequencies(_tf(spark, sf_dir), _documents(spark, sf_dir).count()).select("term", "df", F.round("idf", 6).alias("idf"))
+    total, slices = fulltext.measured(_documents(spark, sf_dir), F.col("text"))
+    return fulltext.inverse_frequencies(_tf(spark, sf_dir, slices), total).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def text_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
