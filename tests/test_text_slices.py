@@ -35,3 +35,10 @@ def test_an_index_is_built_in_slices(spark, texts, name):
     assert index.count() == 40 * (28 if name == "fulltext_virtual" else 27)
     assert index.agg(F.sum("tf")).first()[0] == WORDS + 40 * (name == "fulltext_virtual")
     assert len(rows) == {"text_norms": 40}.get(name, 0)  # a word of all texts weighs nothing
+
+
+def test_frequencies_are_counted_in_slices(spark, texts):
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
+    tf = registry.text_tf(spark, texts)
+    assert tf.rdd.getNumPartitions() >= slices
+    assert tf.agg(F.count("*"), F.sum("tf")).first() == (40 * 27, WORDS)
