@@ -25,7 +25,7 @@ def _postings(spark) -> set[Path]:
     return set(Path(shared_dir(spark).removeprefix("file://")).glob("text-*/postings/*.parquet"))
 
 
-@pytest.mark.parametrize("name", ["fulltext_virtual", "fulltext_all", "text_norms"])
+@pytest.mark.parametrize("name", ["fulltext_virtual", "fulltext_all", "text_norms", "fulltext_topk"])
 def test_an_index_is_built_in_slices(spark, texts, name):
     had, most = _postings(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = registry.QUERIES[name](spark, texts).collect()
