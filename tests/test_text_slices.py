@@ -1,5 +1,6 @@
 """Words are counted in as many tasks as the texts have slices, whatever spark.sql.shuffle.partitions says."""
 
+import re
 from pathlib import Path
 
 import pytest
@@ -42,3 +43,10 @@ def test_frequencies_are_counted_in_slices(spark, texts):
     tf = registry.text_tf(spark, texts)
     assert tf.rdd.getNumPartitions() >= slices
     assert tf.agg(F.count("*"), F.sum("tf")).first() == (40 * 27, WORDS)
+
+
+def test_inverse_frequencies_are_counted_in_slices(spark, texts):
+    df = registry.text_df_idf(spark, texts)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert int(re.search(r"RepartitionByExpression \[doc_id#\d+L\], (\d+)", plan)[1]) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {tuple(r)[1:] for r in df.collect()} == {(40, 0.0)} and df.count() == 27
